@@ -5,7 +5,8 @@ of its complete lines and, as its boundary state, the pieces of lines at its two
 ends.  ``merge`` joins two neighbours: the left one's tail and the right one's
 head are one line, counted only then.  It is associative, so chunks of a huge
 document are merged as a tree; a document of one chunk needs no exchange.
-Ratios and rule outcomes come from the merged counts.
+Ratios and rule outcomes come from the merged counts.  A page printed in mirror
+writing has fewer common words than common words read backwards.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ COMMON = frozenset(
     " el los las y que en un una por con no para su al lo como más se pero sus"
     " i w z na do nie się że jest to o po jak ale od za и в не на что с по как к но из у за от это".split()
 )
-COUNTS = ("n_lines", "n_words", "word_chars", "n_chars", "n_symbols", "n_punct_lines", "n_common", "n_list", "n_table", "n_junk")
+COUNTS = ("n_lines", "n_words", "word_chars", "n_chars", "n_symbols", "n_punct_lines", "n_common", "n_list", "n_table", "n_junk", "n_mirrored")
 TOP = 0x3000
 SMALL = frozenset("a an the of and to in at for from by with or on le la les de des du et en von zu und der die das den im am bei aus del y".split())
 #: Characters that stand inside or beside words only where a page was misread.
@@ -49,7 +50,7 @@ def tables() -> dict[str, np.ndarray]:
     t = {"letter": of(str.isalpha), "upper": of(str.isupper), "digit": of(str.isdecimal), "space": of(lambda c: c.isspace() or c == "\0"), "newline": in_("\n\0"), "low": low}
     t |= {"vowel": of(lambda c: c.lower() in "aeiouyäöüàâéèêëîïôùûœæáíóúąęаеёиоуыэюя"), "stray": in_(STRAY), "dot": in_(".…,·-_"), "end": in_(".!?…:;"), "close": in_("\"')]”’»"), "comma": in_(",;"), "bar": in_("|\t"), "cut": in_("-¬‐=")}
     t |= {"bullet": in_("-*•·–—+"), "money": in_("£$€+-"), "zero": in_("0156"), "point": in_(".)"), "symbol": of(lambda c: not c.isalnum() and not c.isspace() and c != "\0")}
-    for name, words in (("common", COMMON), ("small", SMALL)):
+    for name, words in (("common", COMMON), ("small", SMALL), ("mirrored", {w[::-1] for w in COMMON if len(w) > 1} - COMMON)):
         t[name] = np.array(sorted({int(sum(int(ord(c)) * int(p) for c, p in zip(w, _POWERS)) & (2**64 - 1)) for w in words}), np.uint64)
     return t
 
@@ -124,7 +125,7 @@ def count_texts(texts: list[str]) -> np.ndarray:
     closing = t["end"][last[end]] | t["close"][last[end]] & (n[end] > 1) & t["end"][s[np.maximum(offs[end] + n[end] - 2, 0)]]
     doc = np.searchsorted(starts, at[lo], "right") - 1
     symbols, common = per(add(t["symbol"][s])), per(word & _within(keys, t["common"]))
-    for k, x in ((0, np.ones(len(lo), np.int64)), (1, per(word)), (2, per(nl * word)), (4, symbols), (5, closing), (6, common), (7, listed), (8, table), (9, junk)):
+    for k, x in ((0, np.ones(len(lo), np.int64)), (1, per(word)), (2, per(nl * word)), (4, symbols), (5, closing), (6, common), (7, listed), (8, table), (9, junk), (10, per(word & _within(keys, t["mirrored"])))):
         out[:, k] = np.bincount(doc, x, len(texts)).astype(np.int64)
     return out
 
@@ -216,7 +217,7 @@ def ratios(counts: DataFrame) -> DataFrame:
         share("n_symbols", "n_chars").alias("symbol_ratio"),
         share("n_punct_lines", "n_lines").alias("punct_line_share"),
         share("n_common", "n_words").alias("common_word_share"),
-        F.when(half("n_junk"), "junk").when(half("n_table"), "table").when(half("n_list"), "list").otherwise("prose").alias("kind"),
+        F.when(half("n_junk") | (F.col("n_mirrored") > F.col("n_common")) & (F.col("n_mirrored") > 3), "junk").when(half("n_table"), "table").when(half("n_list"), "list").otherwise("prose").alias("kind"),
     )
 
 
