@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of input in a slice of a batch.
+SLICE = 1 << 21
 #: Column names that a query adds; an input column of the same name is replaced.
 ID, HOST = "__id", "__host"
 
@@ -27,8 +29,14 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = schema_arrow(ddl)
         for batch in batches:
-            out = fn(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(out[n], schema.field(n).type) for n in names], schema=schema)
+            # Work arrays are some tens of bytes a character: a batch is taken in slices of bounded size.
+            step = max(1, batch.num_rows * SLICE // max(batch.nbytes, SLICE))
+            for at in range(0, batch.num_rows, step):
+                yield one(batch.slice(at, step), schema)
+
+    def one(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+        out = fn(batch)
+        return pa.RecordBatch.from_arrays([pa.array(out[n], schema.field(n).type) for n in names], schema=schema)
 
     return df.mapInArrow(run, ddl)
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Module, and its queries.
 QUERIES = {
     "unify": ["p2_found", "p2_forms"],
+    "encoding": ["p5_found", "p5_restored"],
+    "truncation": ["p7_found", "p7_rates"],
     "quality": ["p10_found", "p10_statistics"],
 }
 SQL: dict[str, str] = {}
