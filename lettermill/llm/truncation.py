@@ -34,9 +34,14 @@ _NAME = re.compile(r"[^\W\d_][\w.'’-]*(?:,?\s+[^\W\d_][\w.'’-]*){0,3}$")
 SHAPES = ("mark", "sentence", "closed", "row", "short_row", "item", "name", "open")
 
 
+#: A word that was misread tells nothing of its being whole.
+_GARBLED = re.compile(r"[^\w.'’&/()-]|[a-zà-ÿ][а-я]|[а-я][a-zà-ÿ]|�")
+
+
 def last_word(unit: str) -> str:
     words = unit.split()
-    return words[-1].strip(".,;:").casefold() if words else ""
+    word = words[-1].strip(".,;:").casefold() if words else ""
+    return "" if _GARBLED.search(word) else word
 
 
 def shape(text: str) -> tuple[str, str]:
@@ -55,7 +60,7 @@ def shape(text: str) -> tuple[str, str]:
         n = prev.count(d)
         if n >= 2 and earlier.count(d) == n and not (d == "|" and line.endswith("|")):
             m = line.count(d)
-            if m < n:
+            if m < n and not _SENTENCE.search(body):
                 return "short_row", ""
             if m == n:
                 return "row", last_word(line[line.rfind(d) + 1 :])
@@ -218,7 +223,7 @@ def truncated(results: DataFrame, sources: DataFrame, record_id: str, text: str,
     kind = F.lit(0.0)
     for name, w in EVIDENCE.items():
         kind = F.when(F.col("ending") == name, F.lit(w)).otherwise(kind)
-    kind = F.when(F.col("ending").isin("row", "item") & (F.coalesce("n_whole", F.lit(0)) == 0), F.lit(5.0)).otherwise(kind)
+    kind = F.when(F.col("ending").isin("row", "item") & (F.col("last") != "") & (F.coalesce("n_whole", F.lit(0)) == 0), F.lit(5.0)).otherwise(kind)
     odds = cens + kind + F.when(F.col("broken"), F.lit(8.0)).otherwise(F.lit(0.0))  # text kept from a file that ended too soon
     out = joined.withColumn("posterior", 1 / (1 + F.exp(-odds)))
     return out.select("record_id", "source", "ending", "n_chars", "n_bytes", "limit", "unit", "posterior", (F.col("posterior") > 0.5).alias("truncated"))
