@@ -12,6 +12,7 @@ QUERIES = {
     "unify": ["p2_found", "p2_forms"],
     "encoding": ["p5_found", "p5_restored"],
     "truncation": ["p7_found", "p7_rates"],
+    "language": ["p6_found", "p6_segments"],
     "leakage": ["p8_found", "p8_items"],
     "mixing": ["p9_mixture", "p9_shares"],
     "quality": ["p10_found", "p10_statistics"],
