@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Module, and its queries.
 QUERIES = {
     "unify": ["p2_found", "p2_forms"],
+    "authored": ["p3_found", "p3_authored"],
     "personal": ["p4_found", "p4_redacted"],
     "encoding": ["p5_found", "p5_restored"],
     "truncation": ["p7_found", "p7_rates"],
