@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Module, and its queries.
 QUERIES = {
+    "markup": ["p1_found", "p1_clean", "p1_templates"],
     "unify": ["p2_found", "p2_forms"],
     "authored": ["p3_found", "p3_authored"],
     "personal": ["p4_found", "p4_redacted"],
