@@ -1,0 +1,457 @@
+"""Readers of HTML, PDF, DOCX, DOC and XLSX with the standard library alone.
+
+Each takes bytes (archives: bytes and the measured entry table) and returns text.  Whatever they
+cannot read raises ``Unreadable``.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+import re
+import struct
+import xml.etree.ElementTree as ET
+import zlib
+from html.parser import HTMLParser
+
+from . import archive
+from . import registry as R
+
+
+class Unreadable(Exception):
+    pass
+
+
+# --- HTML
+
+
+class _Flat(HTMLParser):
+    SKIP = frozenset(("script", "style", "head", "title", "template"))
+    BREAK = frozenset("address article aside blockquote div dl dt dd fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table tr ul li".split())
+    PARAGRAPH = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre ol ul table".split())
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.parts: list[str] = []
+        self.hidden = self.pre = 0
+        self.lists: list[int] = []
+
+    def _end(self, n: int) -> None:
+        while self.parts and self.parts[-1] == " ":
+            self.parts.pop()
+        have = 0
+        for p in reversed(self.parts):
+            if p != "\n":
+                break
+            have += 1
+        if self.parts:
+            self.parts.extend("\n" * max(0, n - have))
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in self.SKIP:
+            self.hidden += tag != "head"
+        if self.hidden:
+            return
+        if tag == "br":
+            self.parts.append("\n")
+        elif tag in self.BREAK:
+            self._end(2 if tag in self.PARAGRAPH and not (tag in ("ol", "ul") and self.lists) else 1)
+            self.pre += tag == "pre"
+            if tag in ("ol", "ul"):
+                self.lists.append(1 if tag == "ol" else 0)
+            elif tag == "li" and self.lists:
+                n = self.lists[-1]
+                self.parts.append(f" {n}. " if n else " * ")
+                self.lists[-1] += n > 0
+        elif tag in ("td", "th"):
+            self.parts.append(" ")
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in self.SKIP:
+            self.hidden = max(0, self.hidden - (tag != "head"))
+            return
+        if self.hidden or tag not in self.BREAK:
+            return
+        self.pre -= tag == "pre" and self.pre > 0
+        if tag in ("ol", "ul") and self.lists:
+            self.lists.pop()
+        self._end(2 if tag in self.PARAGRAPH and not self.lists else 1)
+
+    def handle_data(self, data: str) -> None:
+        if self.hidden:
+            return
+        if not self.pre:
+            data = re.sub(r"\s+", " ", data)
+            if data.startswith(" ") and (not self.parts or self.parts[-1][-1:] in " \n"):
+                data = data[1:]
+        if data:
+            self.parts.append(data)
+
+
+def html_text(source: str) -> str:
+    p = _Flat()
+    p.feed(source)
+    p.close()
+    return "\n".join(x.rstrip() for x in "".join(p.parts).split("\n")).strip()
+
+
+# --- PDF
+
+_OBJ = re.compile(rb"(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.S)
+_STREAM = re.compile(rb"stream\r?\n")
+
+
+class _Pdf:
+    def __init__(self, b: bytes) -> None:
+        self.raw: dict[int, bytes] = {}
+        for m in _OBJ.finditer(b):
+            self.raw[int(m[1])] = m[3]
+        if not self.raw:
+            raise Unreadable("no objects in pdf")
+        if b"/Encrypt" in b[-4096:] or any(b"/Type/XRef" in v.replace(b" ", b"") and b"/Encrypt" in v for v in self.raw.values()):
+            raise Unreadable("encrypted pdf")
+        for n in list(self.raw):
+            if re.search(rb"/Type\s*/ObjStm", self.raw[n]):
+                self._object_stream(self.raw[n])
+
+    def _object_stream(self, obj: bytes) -> None:
+        data = self.stream(obj)
+        n, first = int(re.search(rb"/N\s+(\d+)", obj)[1]), int(re.search(rb"/First\s+(\d+)", obj)[1])
+        head = [int(x) for x in data[:first].split()[: 2 * n]]
+        offs = head[1::2] + [len(data) - first]
+        for k, num in enumerate(head[0::2]):
+            self.raw.setdefault(num, data[first + offs[k] : first + offs[k + 1]])
+
+    def stream(self, obj: bytes) -> bytes:
+        m = _STREAM.search(obj)
+        if not m:
+            return b""
+        data = obj[m.end() :]
+        data = data[: data.rfind(b"endstream")] if b"endstream" in data else data
+        if b"FlateDecode" in obj[: m.start()]:
+            d, out, room = zlib.decompressobj(), [], R.MAX_UNCOMPRESSED_BYTES
+            try:
+                while data and room > 0:
+                    part = d.decompress(data, min(room, 1 << 20))
+                    out.append(part)
+                    room -= len(part)
+                    data = d.unconsumed_tail
+                    if not part and not data:
+                        break
+            except zlib.error as e:
+                if not out:
+                    raise Unreadable("unreadable pdf stream") from e
+            return b"".join(out)
+        return data
+
+    def get(self, ref: bytes) -> bytes:
+        m = re.match(rb"\s*(\d+)\s+\d+\s+R", ref)
+        return self.raw.get(int(m[1]), b"") if m else ref
+
+    def pages(self) -> list[int]:
+        """Page objects in the order of the page tree."""
+        kids = {n: [int(x) for x in re.findall(rb"(\d+)\s+\d+\s+R", m[1])] for n, v in self.raw.items() if (m := re.search(rb"/Kids\s*\[(.*?)\]", v, re.S))}
+        inner = {k for ks in kids.values() for k in ks}
+        out, stack, seen = [], [n for n in sorted(kids, reverse=True) if n not in inner], set()
+        while stack:
+            n = stack.pop()
+            if n in seen:
+                continue
+            seen.add(n)
+            if n in kids:
+                stack.extend(reversed(kids[n]))
+            elif re.search(rb"/Type\s*/Page\b", self.raw.get(n, b"")):
+                out.append(n)
+        return out or [n for n, v in sorted(self.raw.items()) if re.search(rb"/Type\s*/Page\b(?!s)", v)]
+
+    def fonts(self, page: bytes) -> dict[bytes, dict[int, str] | None]:
+        """Maps from codes to text of the page's fonts; None for a plain one-byte font."""
+        res = re.search(rb"/Resources\s*(<<.*|\d+\s+\d+\s+R)", page, re.S)
+        body = self.get(res[1]) if res else page
+        f = re.search(rb"/Font\s*(<<.*?>>|\d+\s+\d+\s+R)", body, re.S)
+        out: dict = {}
+        for name, n in re.findall(rb"/([^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R", self.get(f[1])) if f else ():
+            font = self.raw.get(int(n), b"")
+            m = re.search(rb"/ToUnicode\s+(\d+)\s+\d+\s+R", font)
+            out[name] = _cmap(self.stream(self.raw.get(int(m[1]), b""))) if m else None
+        return out
+
+
+def _cmap(data: bytes) -> dict[int, str]:
+    out: dict[int, str] = {}
+    text = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
+    for block in re.findall(rb"beginbfchar(.*?)endbfchar", data, re.S):
+        for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
+            out[int(a, 16)] = text(b)
+    for block in re.findall(rb"beginbfrange(.*?)endbfrange", data, re.S):
+        for a, b, c in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
+            for k in range(int(a, 16), min(int(b, 16), int(a, 16) + 65535) + 1):
+                out[k] = chr((int(c, 16) + k - int(a, 16)) & 0x10FFFF)
+        for a, b, c in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*\[(.*?)\]", block, re.S):
+            for k, h in enumerate(re.findall(rb"<([0-9A-Fa-f]+)>", c)):
+                out[int(a, 16) + k] = text(h)
+    return out
+
+
+_PIECE = re.compile(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|/[^\s/<>\[\]()]+|[-+]?\d*\.?\d+|[A-Za-z'\"*]+|\[|\]", re.S)
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _literal(s: bytes) -> bytes:
+    def one(m: re.Match) -> bytes:
+        x = m[1]
+        if x[:1].isdigit():
+            return bytes([int(x, 8) & 255])
+        return b"" if x in (b"\n", b"\r\n", b"\r") else _ESCAPES.get(x, x)
+
+    return re.sub(rb"\\([0-7]{1,3}|\r\n|.)", one, s[1:-1], flags=re.S)
+
+
+def _shown(code: bytes, font: dict[int, str] | None) -> str:
+    if font:
+        wide = max(font) > 255 or len(code) % 2 == 0 and any(int.from_bytes(code[k : k + 2], "big") in font for k in range(0, len(code), 2))
+        step = 2 if wide else 1
+        return "".join(font.get(int.from_bytes(code[k : k + step], "big"), "") for k in range(0, len(code), step))
+    return code.decode("utf-16-be", "replace") if code.startswith(b"\xfe\xff") else code.decode("cp1252", "replace")
+
+
+def _page_text(content: bytes, fonts: dict) -> str:
+    out: list[str] = []
+    stack: list[bytes] = []
+    font = None
+    y = last = 0.0
+    number = lambda x: float(x) if re.fullmatch(rb"[-+]?\d*\.?\d+", x) else 0.0
+
+    def line() -> None:
+        if out and out[-1] != "\n":
+            out.append("\n")
+
+    def show(s: bytes) -> None:
+        nonlocal last
+        if abs(y - last) > 1:
+            line()
+            last = y
+        code = _literal(s) if s[:1] == b"(" else bytes.fromhex(re.sub(rb"\s", b"", s[1:-1]).decode() + ("0" if len(re.sub(rb"\s", b"", s[1:-1])) % 2 else ""))
+        out.append(_shown(code, font))
+
+    for m in _PIECE.finditer(content):
+        x = m[0]
+        if x[:1] in b"(</[]" or x[:1] in b"+-.0123456789":
+            stack.append(x)
+            continue
+        if x == b"Tf" and len(stack) >= 2:
+            font = fonts.get(stack[-2][1:])
+        elif x in (b"Td", b"TD") and len(stack) >= 2:
+            y += number(stack[-1])
+        elif x == b"Tm" and len(stack) >= 6:
+            y = number(stack[-1])
+        elif x == b"T*":
+            y -= 12
+        elif x == b"BT":
+            y = 0.0
+            last = 1e9 if out else 0.0
+        elif x in (b"Tj", b"'", b'"') and stack:
+            if x != b"Tj":
+                y -= 12
+            show(stack[-1])
+        elif x == b"TJ":
+            for s in stack:
+                if s[:1] in (b"(", b"<"):
+                    show(s)
+                elif s[:1] not in (b"[", b"]", b"/") and number(s) < -180 and out and out[-1][-1:] not in (" ", "\n"):
+                    out.append(" ")
+        stack.clear()
+    return "\n".join(t.rstrip() for t in "".join(out).split("\n")).strip()
+
+
+def pdf_text(b: bytes) -> str:
+    pdf, pages, length = _Pdf(b), [], 0
+    for n in pdf.pages()[: R.MAX_PDF_PAGES]:
+        page = pdf.raw[n]
+        m = re.search(rb"/Contents\s*(\[.*?\]|\d+\s+\d+\s+R)", page, re.S)
+        refs = re.findall(rb"(\d+)\s+\d+\s+R", m[1]) if m else []
+        text = _page_text(b"\n".join(pdf.stream(pdf.raw.get(int(r), b"")) for r in refs), pdf.fonts(page))
+        if text:
+            pages.append(text)
+            length += len(text) + 2
+            if length > R.MAX_OUTPUT_CHARS:
+                break
+    return "\n\n".join(pages).strip()
+
+
+# --- Office archives
+
+_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+
+def _xml(b: bytes | None, what: str) -> ET.Element:
+    if b is None:
+        raise Unreadable(f"missing part {what}")
+    if b"<!DOCTYPE" in b[:4096] or b"<!ENTITY" in b:
+        raise Unreadable(f"document type in {what}")
+    try:
+        return ET.fromstring(b)
+    except ET.ParseError as e:
+        raise Unreadable(f"unreadable part {what}") from e
+
+
+def docx_text(b: bytes, entries: dict) -> str:
+    root = _xml(archive.read(b, entries, R.DOCX_PART), R.DOCX_PART)
+    out = []
+    for p in root.iter(f"{_W}p"):
+        run = []
+        for x in p.iter():
+            if x.tag == f"{_W}t":
+                run.append(x.text or "")
+            elif x.tag == f"{_W}tab":
+                run.append("\t")
+            elif x.tag in (f"{_W}br", f"{_W}cr"):
+                run.append("\n")
+        out.append("".join(run) + "\n\n")
+    return "".join(out)
+
+
+_DATE_FORMATS = {*range(14, 23), *range(27, 37), 45, 46, 47, *range(50, 59)}
+
+
+def _serial(v: float, epoch_1904: bool) -> str:
+    base = dt.datetime(1904, 1, 1) if epoch_1904 else dt.datetime(1899, 12, 30)
+    when = base + dt.timedelta(days=v)
+    return when.strftime("%Y-%m-%d") if v == int(v) else when.strftime("%Y-%m-%d %H:%M:%S")
+
+
+def _number(text: str) -> str:
+    try:
+        v = float(text)
+    except ValueError:
+        return text
+    return str(int(v)) if v == int(v) and abs(v) < 1e15 else repr(v)
+
+
+def xlsx_text(b: bytes, entries: dict) -> str:
+    book = _xml(archive.read(b, entries, R.XLSX_PART), R.XLSX_PART)
+    rels = archive.read(b, entries, "xl/_rels/workbook.xml.rels")
+    target = {r.get("Id"): r.get("Target", "") for r in _xml(rels, "workbook relations")} if rels else {}
+    strings = archive.read(b, entries, "xl/sharedStrings.xml")
+    shared = ["".join(t.text or "" for t in s.iter(f"{_S}t")) for s in _xml(strings, "shared strings").iter(f"{_S}si")] if strings else []
+    styles, dates = archive.read(b, entries, "xl/styles.xml"), []
+    if styles:
+        root = _xml(styles, "styles")
+        own = {int(f.get("numFmtId", 0)): re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", f.get("formatCode", "")) for f in root.iter(f"{_S}numFmt")}
+        cell = root.find(f"{_S}cellXfs")
+        for x in cell if cell is not None else ():
+            n = int(x.get("numFmtId", 0))
+            dates.append(n in _DATE_FORMATS or bool(re.search(r"[ymdhs]", own.get(n, ""), re.I)))
+    pr = book.find(f"{_S}workbookPr")
+    from_1904 = pr is not None and pr.get("date1904") in ("1", "true")
+    sheets, length = [], 0
+    for k, sheet in enumerate(book.iter(f"{_S}sheet"), 1):
+        path = target.get(sheet.get(_RELATION), f"worksheets/sheet{k}.xml")
+        path = path.lstrip("/") if path.startswith("/") else f"xl/{path}"
+        data = archive.read(b, entries, path)
+        if data is None:
+            continue
+        rows = []
+        for row in _xml(data, path).iter(f"{_S}row"):
+            cells = []
+            for c in row.iter(f"{_S}c"):
+                kind, v = c.get("t", "n"), c.find(f"{_S}v")
+                text = v.text if v is not None and v.text is not None else ""
+                if kind == "inlineStr":
+                    text = "".join(t.text or "" for t in c.iter(f"{_S}t"))
+                elif not text:
+                    continue
+                elif kind == "s":
+                    text = shared[int(text)] if int(text) < len(shared) else ""
+                elif kind == "b":
+                    text = "TRUE" if text == "1" else "FALSE"
+                elif kind == "n":
+                    style = int(c.get("s", 0))
+                    text = _serial(float(text), from_1904) if style < len(dates) and dates[style] else _number(text)
+                if text:
+                    cells.append(text)
+            if cells:
+                rows.append("\t".join(cells))
+                length += len(rows[-1]) + 1
+                if length > R.MAX_OUTPUT_CHARS:
+                    break
+        if rows:
+            sheets.append(f"=== {sheet.get('name', '')} ===\n" + "\n".join(rows))
+        if length > R.MAX_OUTPUT_CHARS:
+            break
+    return "\n\n".join(sheets)
+
+
+# --- DOC
+
+
+def doc_text(b: bytes) -> str:
+    """Main body of a Word 97 file: compound-file directory, then the piece table."""
+    if len(b) < 512 or not b.startswith(R.OLE):
+        raise Unreadable("not a compound file")
+    size = 1 << struct.unpack_from("<H", b, 30)[0]
+    mini = 1 << struct.unpack_from("<H", b, 32)[0]
+    first_dir, cutoff, first_mini = struct.unpack_from("<I", b, 48)[0], struct.unpack_from("<I", b, 56)[0], struct.unpack_from("<I", b, 60)[0]
+    sector = lambda n: b[(n + 1) * size : (n + 2) * size]
+    fat: list[int] = []
+    for n in struct.unpack_from("<109I", b, 76):
+        if n < 0xFFFFFFFA:
+            s = sector(n)
+            fat += struct.unpack(f"<{len(s) // 4}I", s[: len(s) // 4 * 4])
+
+    def chain(n: int, table: list[int]) -> list[int]:
+        out = []
+        while n < len(table) and len(out) <= len(table):
+            out.append(n)
+            n = table[n]
+        return out
+
+    directory = b"".join(sector(n) for n in chain(first_dir, fat))
+    files: dict[str, tuple[int, int]] = {}
+    for k in range(0, len(directory) - 127, 128):
+        n = struct.unpack_from("<H", directory, k + 64)[0]
+        files[directory[k : k + max(0, n - 2)].decode("utf-16-le", "replace")] = struct.unpack_from("<II", directory, k + 116)
+    root = b"".join(sector(n) for n in chain(files.get("Root Entry", (0xFFFFFFFE, 0))[0], fat))
+    mini_raw = b"".join(sector(n) for n in chain(first_mini, fat))
+    mini_fat = list(struct.unpack(f"<{len(mini_raw) // 4}I", mini_raw[: len(mini_raw) // 4 * 4]))
+
+    def load(name: str) -> bytes:
+        if name not in files:
+            raise Unreadable(f"no stream {name}")
+        start, length = files[name]
+        if length < cutoff:
+            return b"".join(root[n * mini : (n + 1) * mini] for n in chain(start, mini_fat))[:length]
+        return b"".join(sector(n) for n in chain(start, fat))[:length]
+
+    word = load("WordDocument")
+    if len(word) < 0x1AA or struct.unpack_from("<H", word, 0)[0] != 0xA5EC:
+        raise Unreadable("not a Word document")
+    flags = struct.unpack_from("<H", word, 10)[0]
+    if flags & 0x0100:
+        raise Unreadable("encrypted document")
+    table = load("1Table" if flags & 0x0200 else "0Table")
+    body = struct.unpack_from("<I", word, 0x4C)[0]
+    at, length = struct.unpack_from("<II", word, 0x1A2)
+    clx, p = table[at : at + length], 0
+    while p < len(clx) and clx[p] == 1:
+        p += 3 + struct.unpack_from("<H", clx, p + 1)[0]
+    if p >= len(clx) or clx[p] != 2:
+        raise Unreadable("no piece table")
+    plc = clx[p + 5 : p + 5 + struct.unpack_from("<I", clx, p + 1)[0]]
+    n = (len(plc) - 4) // 12
+    ends = struct.unpack_from(f"<{n + 1}I", plc, 0)
+    out, have = [], 0
+    for k in range(n):
+        fc = struct.unpack_from("<I", plc, (n + 1) * 4 + k * 8 + 2)[0]
+        chars = min(ends[k + 1], body) - ends[k]
+        if chars <= 0:
+            break
+        if fc & 0x40000000:
+            start = (fc & 0x3FFFFFFF) // 2
+            out.append(word[start : start + chars].decode("cp1252", "replace"))
+        else:
+            out.append(word[fc : fc + 2 * chars].decode("utf-16-le", "replace"))
+        have += chars
+    text = re.sub("\x13[^\x14\x15]*\x14?|\x15", "", "".join(out))
+    return re.sub("[\x00-\x06\x08\x0e-\x1f]", "", text.replace("\r", "\n").replace("\x07", "\t").replace("\x0b", "\n").replace("\x0c", "\n"))
