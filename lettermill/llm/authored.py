@@ -193,11 +193,11 @@ def classify(value: str, markup: bool = False) -> tuple[list[str], list[int]]:
     return lines, classes
 
 
-def units(lines: list[str], classes: list[int]) -> tuple[tuple[int, int, bool], ...]:
+def units(lines: list[str], classes: list[int], markup: bool = False) -> tuple[tuple[int, int, bool], ...]:
     """Runs of one class as (class, lines up to 8, holds a long line)."""
     out: list[list] = []
     for t, c in zip(lines, classes):
-        long_ = len(t) >= 60
+        long_ = len(t) >= 60 or markup and c == QUOTED  # a quote's container leaves no doubt
         if out and out[-1][0] == c:
             out[-1][1] = min(out[-1][1] + 1, 8)
             out[-1][2] = out[-1][2] or long_
@@ -217,7 +217,7 @@ def decode(row: tuple[tuple[int, int, bool], ...]) -> tuple[int, ...]:
         for i, (c, _, _) in enumerate(row):
             acc += EMIT[c][y] * weight[i]
             sums[y][i + 1] = acc
-    marks = {c: [0] * (n + 1) for c in (QUOTED, ATTRIBUTION, FIELD_FROM, FIELD, DIVIDER, CLIENT, CONTACT, POST, PROSE, LEGAL, NAME, SHORT, BOXED)}
+    marks = {c: [0] * (n + 1) for c in (QUOTED, ATTRIBUTION, FIELD_FROM, FIELD, DIVIDER, CLIENT, CONTACT, POST, PROSE, LEGAL, NAME, SHORT, BOXED, FIRST, CLOSING)}
     for c, m in marks.items():
         for i, (k, size, _) in enumerate(row):
             m[i + 1] = m[i] + (size if k == c else 0)
@@ -242,6 +242,9 @@ def decode(row: tuple[tuple[int, int, bool], ...]) -> tuple[int, ...]:
                 score -= 5.0
             if c == QUOTED and not has(ATTRIBUTION, FIELD_FROM, DIVIDER) and has(QUOTED) == 1 and not long_:
                 score -= 6.0
+            if has(QUOTED):
+                # Between marked lines, unmarked ones are answers.
+                score -= 2.0 * (has(PROSE) ** 0.5 + has(SHORT, FIRST, NAME, CLOSING) ** 0.5)
             if c == RULE and not has(FIELD_FROM, ATTRIBUTION, DIVIDER, QUOTED):
                 score -= 6.0
         elif y == DISCLAIMER:
@@ -294,7 +297,7 @@ _PLAIN = frozenset((BLANK, PROSE, CLOSING, FIRST, SHORT, ITEM))
 def spans(value: str, markup: bool = False) -> list[tuple[int, str]]:
     """(label, text) of the segments of a body, in order."""
     lines, classes = classify(value, markup)
-    row = units(lines, classes)
+    row = units(lines, classes, markup)
     if all(c in _PLAIN for c, _, _ in row):
         return [(AUTHORED, "\n".join(lines))]
     labels = decode(row)

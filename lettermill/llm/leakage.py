@@ -89,6 +89,8 @@ def alike(a: str, b: str) -> bool:
     if a == b:
         return True
     n, m = len(a), len(b)
+    if a.isdigit() and b.isdigit():
+        return False
     if n > m:
         a, b, n, m = b, a, m, n
     if n < 2 or m - n > 2 or (m - n == 2 and m < 7):

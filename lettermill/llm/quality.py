@@ -172,7 +172,7 @@ def _merge_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     for counts, head, tail in zip(pdf["counts"], pdf["head"], pdf["tail"]):
         p = (list(counts), head, tail if isinstance(tail, str) else None)
         acc = p if acc is None else merge(acc, p)
-    return pd.DataFrame({"doc_id": [key[0]], "idx": [key[1]], "counts": [acc[0]], "head": [acc[1]], "tail": [acc[2]]})
+    return pd.DataFrame({"doc_id": [key[0]], "idx": [int(key[1])], "counts": [acc[0]], "head": [acc[1]], "tail": [acc[2]]})
 
 
 def quality_counts(df: DataFrame, doc_id: str, text: str, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
@@ -197,8 +197,8 @@ def quality_counts(df: DataFrame, doc_id: str, text: str, chunk: int = CHUNK, fa
     level = chunk
     while level < 1 << 31:
         level *= fan
-        tree = tree.withColumn("idx", F.floor(F.col("idx") / fan).cast("bigint"))
-        tree = tree.groupBy("doc_id", "idx").applyInPandas(_merge_group, _PART)
+        # A group's parts are merged in the order of idx; its own number is the next level's.
+        tree = tree.groupBy("doc_id", F.floor(F.col("idx") / fan).cast("bigint").alias("group")).applyInPandas(_merge_group, _PART)
 
     def end(batch: pa.RecordBatch) -> dict[str, list]:
         rows = [finish(p) for p in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]

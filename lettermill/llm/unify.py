@@ -190,6 +190,8 @@ def unify(values: list[str]) -> tuple[list[str], np.ndarray]:
             alone = at[~t["shared"][safe[at]]]
             own = np.bincount(word[alone] * 4 + script[alone], minlength=4 * len(begin)).reshape(-1, 4)
             main = (own * 1_000_000 + counts * 4 + np.array([0, 3, 2, 1])).argmax(1)
+            # Two letters alone, as in units, are no word.
+            mixed &= (counts.sum(1) > 2) & (counts[np.arange(len(counts)), main] > 1)
             at = at[mixed[word[at]]]
             at = at[script[at] != main[word[at]]]
             to = t["alike"][main[word[at]], safe[at]]
