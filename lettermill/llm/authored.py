@@ -350,4 +350,4 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_authored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parts(spark, sf_dir, False).select("field", F.col("record_id").alias("message_id"), "authored").distinct()
+    return _parts(spark, sf_dir, False).select("field", F.col("record_id").alias("message_id"), "authored").dropDuplicates(["field", "message_id"])
