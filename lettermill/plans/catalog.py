@@ -16,22 +16,26 @@ from ..operators import attachments as A
 from ..operators import html_body as H
 from ..operators import noise as N
 from ..operators import text_body as T
-from ..sources.tables import deliveries, table
+from ..sources.tables import table
+
+#: Bodies are taken per delivery: the operators are row-local, so no query over them needs an exchange.
+KEY = ("message_id", "delivered")
+
 
 def _messages(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return deliveries(spark, d).select("message_id", *columns)
+    return table(spark, d, "messages").select("message_id", F.date_format("ingested_at", "yyyy-MM-dd HH:mm:ss").alias("delivered"), *columns)
 
 
 def body_extract(spark: SparkSession, d: str) -> DataFrame:
-    return H.extract_bodies(_messages(spark, d, "text", "html")).select("message_id", "extracted_text", "extracted_html")
+    return H.extract_bodies(_messages(spark, d, "text", "html")).select(*KEY, "extracted_text", "extracted_html")
 
 
 def body_text(spark: SparkSession, d: str) -> DataFrame:
-    return T.extract_text(_messages(spark, d, "text").where("text is not null")).select("message_id", "extracted_text")
+    return T.extract_text(_messages(spark, d, "text").where("text is not null")).select(*KEY, "extracted_text")
 
 
 def body_new_text(spark: SparkSession, d: str) -> DataFrame:
-    return T.with_new_text(_messages(spark, d, "text").where("text is not null")).select("message_id", "new_text")
+    return T.with_new_text(_messages(spark, d, "text").where("text is not null")).select(*KEY, "new_text")
 
 
 SIGNALS = ("quote_run", "divider", "on_wrote", "dashed", "samsung", "header_address", "header_block", "foreign", "foreign_wrapped", "chinese", "arabic", "dated_address")
@@ -47,27 +51,27 @@ def body_line_signals(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("__t")
     flags = F.transform(t, lambda x, i: F.struct(*[(c & (x != "")).alias(n) for n, c in T.signals(x, t, i).items() if n in SIGNALS]))
     lines = lines.withColumn("__f", flags)
-    return lines.select("message_id", F.size("__t").cast("bigint").alias("n_lines"), *[F.size(F.filter("__f", _given(n))).cast("bigint").alias(f"n_{n}") for n in SIGNALS])
+    return lines.select(*KEY, F.size("__t").cast("bigint").alias("n_lines"), *[F.size(F.filter("__f", _given(n))).cast("bigint").alias(f"n_{n}") for n in SIGNALS])
 
 
 def body_glued(spark: SparkSession, d: str) -> DataFrame:
-    return _messages(spark, d, "text").where("text is not null").select("message_id", T.split_glued(F.col("text")).alias("text"))
+    return _messages(spark, d, "text").where("text is not null").select(*KEY, T.split_glued(F.col("text")).alias("text"))
 
 
 def body_bounce(spark: SparkSession, d: str) -> DataFrame:
-    return _messages(spark, d, "text").where("text is not null").select("message_id", T.is_bounce(F.col("text")).alias("is_bounce"))
+    return _messages(spark, d, "text").where("text is not null").select(*KEY, T.is_bounce(F.col("text")).alias("is_bounce"))
 
 
 def noise_text(spark: SparkSession, d: str) -> DataFrame:
-    return _messages(spark, d, "text").where("text is not null").select("message_id", N.strip_noise(F.col("text")).alias("clean"))
+    return _messages(spark, d, "text").where("text is not null").select(*KEY, N.strip_noise(F.col("text")).alias("clean"))
 
 
 def noise_html(spark: SparkSession, d: str) -> DataFrame:
-    return _messages(spark, d, "html").where("html is not null").select("message_id", N.strip_noise_html(F.col("html")).alias("clean"))
+    return _messages(spark, d, "html").where("html is not null").select(*KEY, N.strip_noise_html(F.col("html")).alias("clean"))
 
 
 def html_extract(spark: SparkSession, d: str) -> DataFrame:
-    return H.extract_html(_messages(spark, d, "html").where("html is not null")).select("message_id", "extracted_html")
+    return H.extract_html(_messages(spark, d, "html").where("html is not null")).select(*KEY, "extracted_html")
 
 
 MARKS = ("gmail_quote", "blockquote", "append_on_send", "outlook_rule", "reply_forward", "chinese_wrote", "chinese_from", "arabic_wrote", "original_message")
@@ -76,11 +80,11 @@ MARKS = ("gmail_quote", "blockquote", "append_on_send", "outlook_rule", "reply_f
 def html_marker_positions(spark: SparkSession, d: str) -> DataFrame:
     """Of each HTML body: where each mark that SQL can express stands first (the length: nowhere)."""
     marks = H.marker_positions(F.col("html"))
-    return _messages(spark, d, "html").where("html is not null").select("message_id", *[marks[m].cast("bigint").alias(f"at_{m}") for m in MARKS])
+    return _messages(spark, d, "html").where("html is not null").select(*KEY, *[marks[m].cast("bigint").alias(f"at_{m}") for m in MARKS])
 
 
 def html_visible(spark: SparkSession, d: str) -> DataFrame:
-    return _messages(spark, d, "html").where("html is not null").select("message_id", H.visible_text(F.col("html")).alias("visible"), H.flat_text(F.col("html")).alias("flat"), H.drop_comments(F.col("html")).alias("bare"))
+    return _messages(spark, d, "html").where("html is not null").select(*KEY, H.visible_text(F.col("html")).alias("visible"), H.flat_text(F.col("html")).alias("flat"), H.drop_comments(F.col("html")).alias("bare"))
 
 
 def route_detect(spark: SparkSession, d: str) -> DataFrame:
@@ -129,8 +133,11 @@ def _trim(c: str) -> str:
     return f"regexp_replace(regexp_replace({c}, '^{_WS}+', ''), '{_WS}+$', '')"
 
 
-_TEXTS = "texts AS (SELECT message_id, any_value(text) AS text, any_value(mailbox_id) AS mailbox_id FROM messages GROUP BY message_id)"
-_PAGES = "pages AS (SELECT message_id, any_value(html) AS html FROM messages WHERE html IS NOT NULL GROUP BY message_id)"
+#: A delivery's key is a pair, under the name message_id until the last SELECT.
+_PAIR = "struct_pack(m := message_id, t := strftime(ingested_at, '%Y-%m-%d %H:%M:%S')) AS message_id"
+_TEXTS = f"texts AS (SELECT {_PAIR}, text, mailbox_id FROM messages)"
+_PAGES = f"pages AS (SELECT {_PAIR}, html FROM messages WHERE html IS NOT NULL)"
+_OUT = "message_id.m AS message_id, message_id.t AS delivered"
 
 
 def _lines(text: str) -> str:
@@ -221,15 +228,15 @@ def oracle_sql() -> dict[str, str]:
     flat = decode(r"regexp_replace(regexp_replace(html, '<(br|/p|/div|/tr|/td|/li|hr)[^>]*>', chr(10), 'gi'), '<[^>]+>', '', 'g')", ["lt", "gt", "amp", "nbsp"])
     bare = _trim(r"regexp_replace(regexp_replace(html, '<!--[\s\S]*?-->', '', 'g'), '/\*[\s\S]*?\*/', '', 'g')")
     return {
-        "body_text": f"{full} SELECT message_id, {_strip('new_text')} AS extracted_text FROM new_",
-        "body_new_text": f"{full} SELECT message_id, new_text FROM new_",
-        "body_line_signals": f"WITH {_TEXTS}, {_lines('text')} SELECT message_id, count(*) AS n_lines, {n} FROM sig GROUP BY message_id",
-        "body_glued": f"WITH {_TEXTS} SELECT message_id, {_GLUE} AS text FROM texts WHERE text IS NOT NULL",
-        "body_bounce": f"WITH {_TEXTS}, {_lines('text')}, top_ AS (SELECT message_id, arg_min(t, i) FILTER (WHERE t <> '' AND NOT regexp_matches(t, '^\\[.*\\]$') AND NOT regexp_matches(t, '^https?://\\S+$', 'i')) AS opening FROM sig GROUP BY message_id) SELECT message_id, {_BOUNCE} AS is_bounce FROM top_",
-        "noise_text": f"WITH {_TEXTS} SELECT message_id, {_strip('text')} AS clean FROM texts WHERE text IS NOT NULL",
-        "noise_html": f"WITH {_PAGES} SELECT message_id, {_trim(f'''array_to_string(CASE WHEN {at} > 0 THEN list_slice({blocks}, 1, {at} - 1) ELSE {blocks} END, '')''')} AS clean FROM pages",
-        "html_marker_positions": f"WITH {_PAGES} SELECT message_id, {', '.join(f'{place(p)} AS at_{m}' for m, p in marks.items())} FROM pages",
-        "html_visible": f"WITH {_PAGES} SELECT message_id, {visible} AS visible, {flat} AS flat, {bare} AS bare FROM pages",
+        "body_text": f"{full} SELECT {_OUT}, {_strip('new_text')} AS extracted_text FROM new_",
+        "body_new_text": f"{full} SELECT {_OUT}, new_text FROM new_",
+        "body_line_signals": f"WITH {_TEXTS}, {_lines('text')} SELECT {_OUT}, count(*) AS n_lines, {n} FROM sig GROUP BY sig.message_id",
+        "body_glued": f"WITH {_TEXTS} SELECT {_OUT}, {_GLUE} AS text FROM texts WHERE text IS NOT NULL",
+        "body_bounce": f"WITH {_TEXTS}, {_lines('text')}, top_ AS (SELECT message_id, arg_min(t, i) FILTER (WHERE t <> '' AND NOT regexp_matches(t, '^\\[.*\\]$') AND NOT regexp_matches(t, '^https?://\\S+$', 'i')) AS opening FROM sig GROUP BY message_id) SELECT {_OUT}, {_BOUNCE} AS is_bounce FROM top_",
+        "noise_text": f"WITH {_TEXTS} SELECT {_OUT}, {_strip('text')} AS clean FROM texts WHERE text IS NOT NULL",
+        "noise_html": f"WITH {_PAGES} SELECT {_OUT}, {_trim(f'''array_to_string(CASE WHEN {at} > 0 THEN list_slice({blocks}, 1, {at} - 1) ELSE {blocks} END, '')''')} AS clean FROM pages",
+        "html_marker_positions": f"WITH {_PAGES} SELECT {_OUT}, {', '.join(f'{place(p)} AS at_{m}' for m, p in marks.items())} FROM pages",
+        "html_visible": f"WITH {_PAGES} SELECT {_OUT}, {visible} AS visible, {flat} AS flat, {bare} AS bare FROM pages",
         # The table calls sniffed pages html; sniffing knows text alone.
         "route_detect": "SELECT attachment_id, CASE WHEN routed_by = 'sniff' AND kind = 'html' THEN 'text' ELSE kind END AS kind, routed_by FROM attachment_routes",
         "route_declared": r"SELECT attachment_id, nullif(lower(trim(split_part(content_type, ';', 1))), '') AS declared, nullif(lower(regexp_extract(trim(filename), '(\.[A-Za-z0-9]+)$', 1)), '') AS extension FROM attachments",

@@ -11,10 +11,9 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def deliveries(spark: SparkSession, directory: str) -> DataFrame:
-    """Messages, a repeated delivery once.
+    """Messages, a repeated delivery once: any row of an id, as its deliveries carry the same bodies.
 
-    Deliveries of an id carry the same bodies, so any will do: a hash of the id
-    meets its copies in one place, bodies and all, and needs no sort.
+    This moves the bodies; a query over results had better drop repeats there.
     """
     return table(spark, directory, "messages").dropDuplicates(["message_id"])
 
