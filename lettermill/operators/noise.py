@@ -11,8 +11,9 @@ from ..functions.jsx import js_trim, matches, pattern, split_lines
 
 #: All marks as one pattern, so that a line is read once.
 _ALL = "(?i)" + "|".join(f"(?:{p.removeprefix('(?i)')})" for p in V.NOISE)
-#: A word that some mark needs and that no tag or character reference can part; texts without any skip the line-wise search.
-_ANY = r"(?i)sent(?:\s|&[a-z]+;|<[^>]*>|\u00A0)+from|outlook|browser|receiving|received|preferences|subscription|unsubscribe|confidential|privileged|recipient|intended|designated|secure|print|personal"
+#: The marks at any line of a text, or anywhere in a page's flat text: bodies without any skip the search by line or block.
+_SOME = "(?m)" + _ALL
+_ANYWHERE = "(?i)" + "|".join(f"(?:{p.removeprefix('(?i)').removeprefix('^')})" for p in V.NOISE)
 
 
 def is_noise(line: Column) -> Column:
@@ -24,7 +25,7 @@ def strip_noise(text: Column) -> Column:
     lines = split_lines(text)
     at = F.array_position(F.transform(lines, is_noise), True)
     cut = F.array_join(F.when(at > 0, F.slice(lines, 1, (at - 1).cast("int"))).otherwise(lines), "\n")
-    return js_trim(F.when(matches(text, _ANY), cut).otherwise(F.regexp_replace(text, r"\r\n", "\n")))
+    return js_trim(F.when(matches(text, _SOME), cut).otherwise(F.regexp_replace(text, r"\r\n", "\n")))
 
 
 def block_text(block: Column) -> Column:
@@ -44,4 +45,4 @@ def strip_noise_html(html: Column) -> Column:
     blocks = html_blocks(html)
     at = F.array_position(F.transform(blocks, lambda b: is_noise(block_text(b))), True)
     cut = F.array_join(F.when(at > 0, F.slice(blocks, 1, (at - 1).cast("int"))).otherwise(blocks), "")
-    return js_trim(F.when(matches(html, _ANY), cut).otherwise(html))
+    return js_trim(F.when(matches(block_text(html), _ANYWHERE), cut).otherwise(html))
