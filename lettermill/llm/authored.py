@@ -27,7 +27,6 @@ KINDS = ("authored", "history", "signature", "disclaimer")
 (BLANK, PROSE, QUOTED, ATTRIBUTION, FIELD_FROM, FIELD, DIVIDER, RULE, DELIMITER, CLIENT, CONTACT, POST, NAME, CLOSING, FIRST, LEGAL, SHORT, ITEM, BOXED) = range(19)
 #: Emissions, by class: authored, history, signature, disclaimer.
 EMIT = {
-    BLANK: (0.0, 0.0, -0.1, -0.1),
     PROSE: (0.0, -0.5, -5.0, -2.0),
     QUOTED: (-3.0, 2.5, -6.0, -6.0),
     ATTRIBUTION: (-5.0, 3.0, -6.0, -6.0),
@@ -91,6 +90,19 @@ _LEGAL = re.compile(
 )
 
 
+#: Each turn of phrase above holds one of these; lines without any aren't searched for it.
+_LEGAL_PARTS = (
+    "only for", "exclusively for", "intended", "not the ", "confidential", "privileged", "legally", "must not copy", "mistake", "views", "opinions", "bind", "before print", "you print", "getting this", "receiving this", "received this", "unsubscribe",
+    "leave the list", "leave this", "leave our", "leave the group", "leave the newsletter", "foot of the page", "manage ", "nur für", "ausschließlich", "vertraulich", "irrtümlich", "allein die meinung", "verbindlich", "drucken", "destiné", "confidentiel",
+    "par erreur", "engagent", "imprimer", "dirigido", "confidencial", "por error", "opiniones", "przeznaczon", "poufne", "pomyłk", "opinie", "предназначено", "сведени", "конфиденциальн", "ошибке",
+)
+
+
+def legal(line: str) -> bool:
+    low = line.lower()
+    return any(p in low for p in _LEGAL_PARTS) and _LEGAL.search(line) is not None
+
+
 def _caps(words: list[str]) -> bool:
     return all(w[0].isupper() for w in words)
 
@@ -112,7 +124,7 @@ def _short_class(line: str) -> int:
         return CLOSING
     if _CONTACT.match(line):
         return CONTACT
-    if _LEGAL.search(line):
+    if legal(line):
         return LEGAL
     if _STREET.match(line) and _STREET_WORD.search(line) and len(_WORDS.findall(line)) <= 6:
         return CONTACT
@@ -157,7 +169,7 @@ def line_class(line: str, quoted: bool = False, boxed: bool = False) -> int:
     if len(bare) < 60:
         kind = _short_class(bare)
         return BOXED if boxed and kind in (SHORT, FIRST, NAME) else kind
-    if _LEGAL.search(bare):
+    if legal(bare):
         return LEGAL
     if boxed:
         return BOXED
@@ -168,11 +180,14 @@ def line_class(line: str, quoted: bool = False, boxed: bool = False) -> int:
 _LOOSE = re.compile(r":[^:]*[,\s][^\W\d_]+\s*:|[.!?]\s*$")
 
 
-def classify(value: str, markup: bool = False) -> tuple[list[str], list[int]]:
+def classify(value: str, markup: bool = False) -> tuple[list[str], list[int], list[bool]]:
+    """Lines, their classes, and whether a quote's container leaves no doubt of them."""
+    sure: list[bool] = []
     if markup:
         rows = _html.blocks(value)
         lines = [r[0].replace("\xa0", " ").strip() for r in rows]
         classes = [line_class(t, q > 0, s > 0) for t, (_, q, s) in zip(lines, rows)]
+        sure = [q > 0 for _, q, _ in rows]
     else:
         lines = re.split(r"\r\n|\n|\r", value)
         classes = [line_class(t) for t in lines]
@@ -190,19 +205,22 @@ def classify(value: str, markup: bool = False) -> tuple[list[str], list[int]]:
     for i in range(len(classes) - 2, -1, -1):
         if classes[i + 1] == LEGAL and classes[i] in (PROSE, SHORT) and lines[i].strip()[-1:] not in ".!?:," and (i == 0 or classes[i - 1] not in (PROSE,)):
             classes[i] = LEGAL
-    return lines, classes
+    return lines, classes, sure or [False] * len(lines)
 
 
-def units(lines: list[str], classes: list[int], markup: bool = False) -> tuple[tuple[int, int, bool], ...]:
-    """Runs of one class as (class, lines up to 8, holds a long line)."""
+def units(lines: list[str], classes: list[int], contained: list[bool]) -> tuple[tuple[int, int, bool], ...]:
+    """Runs of one class as (class, lines up to 4, quoted for sure); blank lines part no run."""
     out: list[list] = []
-    for t, c in zip(lines, classes):
-        long_ = len(t) >= 60 or markup and c == QUOTED  # a quote's container leaves no doubt
+    for t, c, box in zip(lines, classes, contained):
+        if c == BLANK:
+            continue
+        # One quoted line is doubtful if it is short, but for one in a quote's container.
+        sure = c == QUOTED and (box or len(t) >= 60)
         if out and out[-1][0] == c:
-            out[-1][1] = min(out[-1][1] + 1, 8)
-            out[-1][2] = out[-1][2] or long_
+            out[-1][1] = min(out[-1][1] + 1, 4)
+            out[-1][2] = out[-1][2] or sure
         else:
-            out.append([c, 1, long_])
+            out.append([c, 1, sure])
     return tuple((a, b, c) for a, b, c in out)
 
 
@@ -222,8 +240,8 @@ def decode(row: tuple[tuple[int, int, bool], ...]) -> tuple[int, ...]:
         for i, (k, size, _) in enumerate(row):
             m[i + 1] = m[i] + (size if k == c else 0)
     solid = [0] * (n + 1)
-    for i, (c, k, _) in enumerate(row):
-        solid[i + 1] = solid[i] + (k if c != BLANK else 0)
+    for i, (_, k, _) in enumerate(row):
+        solid[i + 1] = solid[i] + k
 
     def span(i: int, j: int, y: int) -> float:
         c, k, long_ = row[i]
@@ -257,8 +275,6 @@ def decode(row: tuple[tuple[int, int, bool], ...]) -> tuple[int, ...]:
     back: list[list[tuple[int, int]]] = [[(0, 0)] * 4 for _ in range(n + 1)]
     for j in range(1, n + 1):
         for i in range(max(0, j - LONGEST), j):
-            if row[i][0] == BLANK and i:
-                continue  # blanks go with what stands before them
             for y in range(4):
                 s = span(i, j, y)
                 if i == 0:
@@ -296,19 +312,22 @@ _PLAIN = frozenset((BLANK, PROSE, CLOSING, FIRST, SHORT, ITEM))
 
 def spans(value: str, markup: bool = False) -> list[tuple[int, str]]:
     """(label, text) of the segments of a body, in order."""
-    lines, classes = classify(value, markup)
-    row = units(lines, classes, markup)
-    if all(c in _PLAIN for c, _, _ in row):
+    lines, classes, contained = classify(value, markup)
+    row = units(lines, classes, contained)
+    if all(c in _PLAIN for c, _, _ in row):  # nothing that a segment of another label could begin with
         return [(AUTHORED, "\n".join(lines))]
     labels = decode(row)
     out: list[tuple[int, list[str]]] = []
-    k = -1
-    for t, c, prev in zip(lines, classes, [None, *classes]):
-        k += c != prev
-        if out and out[-1][0] == labels[k]:
+    k, last = -1, None
+    for t, c in zip(lines, classes):
+        if c != BLANK:  # blank lines go with what stands before them
+            k += c != last
+            last = c
+        y = labels[max(k, 0)]
+        if out and out[-1][0] == y:
             out[-1][1].append(t)
         else:
-            out.append((labels[k], [t]))
+            out.append((y, [t]))
     return [(y, "\n".join(ts)) for y, ts in out]
 
 

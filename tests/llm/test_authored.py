@@ -46,6 +46,7 @@ def test_html():
     assert kinds(f'<div>{PROSE}</div><div class="gmail_signature"><div>Ann Poe</div><div>Buyer, Orrin Mill</div></div>', True) == ["signature"]
     assert kinds(f"<p>{PROSE}</p><p>{NOTICE}</p>", True) == ["disclaimer"]
     assert authored(f"<p>{PROSE}</p><BLOCKQUOTE>old</BLOCKQUOTE><p>Bye</p>", True).split() == (PROSE + " Bye").split()
+    assert kinds(f"<p>{PROSE}</p><p>&gt; 5 boxes are left, not &gt; 8.</p>", True) == []
     assert kinds("<div>" * 900 + PROSE, True) == []
 
 
