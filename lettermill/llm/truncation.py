@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._batch import load, map_batches
+from ._batch import cut_lineage, load, map_batches
 
 #: A cutter that stops at the last whole word, or adds a mark, ends up to so much off the limit.
 BELOW, ABOVE = 16, 8
@@ -199,7 +199,8 @@ def truncated(results: DataFrame, sources: DataFrame, record_id: str, text: str,
 
     ends = map_batches(src, ending, "record_id bigint, broken boolean, n_chars bigint, n_bytes bigint, ending string, last string").dropDuplicates(["record_id"])
     where = sources.select(F.col(record_id).cast("bigint").alias("record_id"), F.col(source).cast("string").alias("source")).dropDuplicates(["record_id"])
-    ends = ends.join(where, "record_id", "left").withColumn("source", F.coalesce("source", F.lit("(none)")))
+    # Lengths and endings are read several times below; the texts they come from need not be.
+    ends = cut_lineage(ends.join(where, "record_id", "left").withColumn("source", F.coalesce("source", F.lit("(none)"))))
 
     # How often each word ends a list item or row in the corpus.
     def inner(batch: pa.RecordBatch) -> dict[str, list]:
