@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -52,3 +54,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
+
+
+@lru_cache(1)
+def one_blas_thread() -> None:
+    """Matrix products in this process on one thread: Spark has a task on every core already."""
+    try:
+        with open("/proc/self/maps") as f:
+            paths = {x.split()[-1] for x in f if "openblas" in x}
+        for path in paths:
+            lib = ctypes.CDLL(path)
+            for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+                if hasattr(lib, name):
+                    getattr(lib, name)(1)
+                    break
+    except OSError:  # another system or another library: its own setting holds
+        pass
