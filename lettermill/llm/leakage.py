@@ -5,6 +5,8 @@ placeholders, the other words of the evaluation items stay themselves.  Windows
 of ``WINDOW`` canonical words are joined by hash with those of the items; in each
 hit the slot values are compared.  Equal values anchor a verbatim leak; unequal
 ones, if the same replacement holds all over, tell a re-parameterised item.
+Where too much is misread for a whole window, a slot value but for one letter anchors
+with any two of the ``REACH`` words on each side of it read without error.
 Anchors of a page and an item are then extended word by word in the order of the
 printed column, forgiving misread letters, broken words, and lines that come in
 between; the longest run of the item's words found on the page decides.
@@ -27,6 +29,10 @@ from pyspark.sql import functions as F
 from ._batch import load, map_batches
 
 WINDOW, RUN, MAX_ITEM_WORDS = 7, 20, 2_000_000
+#: Words on each side of a slot, of which any two anchor it, and the bits of a table that tells most other pairs apart.
+REACH, BITS = 3, 22
+_SIDES = np.array([d for d in range(-REACH, REACH + 1) if d])
+_FIRST, _SECOND = np.triu_indices(len(_SIDES), 1)
 NAME, NUMBER, UNIT, OTHER = 1, 2, 3, 4
 FIRST = 5
 #: Units that follow numbers.
@@ -107,6 +113,19 @@ def alike(a: str, b: str) -> bool:
     return m - p - s <= max(may, 2)
 
 
+def close(a: str, b: str) -> bool:
+    """Equal but for one letter: names made of the same parts differ by two."""
+    if a == b:
+        return True
+    if a.isdigit() and b.isdigit() or max(len(a), len(b)) < 4 or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    p = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a[p:] == b[p + 1 :]
+
+
 @dataclass
 class Index:
     """The items' words, and their windows sorted by hash."""
@@ -120,6 +139,32 @@ class Index:
     item: np.ndarray
     at: np.ndarray
     values: np.ndarray
+    pairs: np.ndarray
+    pair_item: np.ndarray
+    pair_at: np.ndarray
+    pair_bits: np.ndarray
+    pair_size: np.ndarray
+    maybe: np.ndarray
+
+
+def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Which letters each word has, as bits, and its length."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    cp = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    bits = np.uint64(1) << (cp & np.uint64(63))
+    return np.bitwise_or.reduceat(bits, np.cumsum(size) - size) if len(words) else bits, size
+
+
+def pair_keys(canon: np.ndarray, value: np.ndarray, at: np.ndarray, n_vocab: int, n_names: int) -> np.ndarray:
+    """For each place, a key of every two words about it that are read as in an item; -1 where they aren't."""
+    word = np.where((canon >= FIRST) | (canon == UNIT), canon, np.where(value > 0, FIRST + n_vocab + value, -1))
+    side = np.pad(word, REACH, constant_values=-1)[at[:, None] + REACH + _SIDES]
+    a, b = side[:, _FIRST], side[:, _SECOND]
+    return np.where((a >= 0) & (b >= 0), (a * (FIRST + n_vocab + n_names + 1) + b) * len(_FIRST) + np.arange(len(_FIRST)), -1)
+
+
+def table_place(key: np.ndarray) -> np.ndarray:
+    return ((key.astype(np.uint64) * _MULT) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def window_hash(canon: np.ndarray) -> np.ndarray:
@@ -147,7 +192,7 @@ def build(items: list[tuple[int, str]]) -> Index:
     few = max(3, len(items) // 25)
     vocab: dict[str, int] = {}
     names: dict[str, int] = {}
-    keys, item, at, values, slots = [], [], [], [], []
+    keys, item, at, values, slots, coded = [], [], [], [], [], []
     for k, (r, n) in enumerate(zip(raw, norm)):
         canon = np.zeros(len(n), np.int64)
         value = np.zeros(len(n), np.int64)
@@ -161,6 +206,7 @@ def build(items: list[tuple[int, str]]) -> Index:
             else:
                 canon[i] = vocab.setdefault(x, FIRST + len(vocab))
         slots.append((value > 0).tolist())
+        coded.append((canon, value))
         h = window_hash(canon)
         if len(h):
             v = np.lib.stride_tricks.sliding_window_view(value, WINDOW)
@@ -169,12 +215,26 @@ def build(items: list[tuple[int, str]]) -> Index:
             item.append(np.full(len(some), k))
             at.append(some)
             values.append(v[some])
+    z = np.zeros(0, np.int64)
+    pairs, pair_item, pair_at = [z], [z], [z]
+    for k, (canon, value) in enumerate(coded):
+        some = np.flatnonzero(value > 0)
+        key = pair_keys(canon, value, some, len(vocab), len(names))
+        row, col = np.nonzero(key >= 0)
+        pairs.append(key[row, col])
+        pair_item.append(np.full(len(row), k))
+        pair_at.append(some[row])
+    pair = np.concatenate(pairs)
+    by = np.argsort(pair, kind="stable")
+    maybe = np.zeros(1 << BITS, bool)
+    maybe[table_place(pair)] = True
+    pair_item, pair_at = np.concatenate(pair_item)[by], np.concatenate(pair_at)[by]
+    near = (pair[by], pair_item, pair_at, *letters([norm[k][i] for k, i in zip(pair_item.tolist(), pair_at.tolist())]), maybe)
     if not keys:
-        z = np.zeros(0, np.int64)
-        return Index(np.array([i for i, _ in items]), norm, slots, vocab, names, np.zeros(0, np.uint64), z, z, np.zeros((0, WINDOW), np.int64))
+        return Index(np.array([i for i, _ in items]), norm, slots, vocab, names, np.zeros(0, np.uint64), z, z, np.zeros((0, WINDOW), np.int64), *near)
     key = np.concatenate(keys)
     order = np.argsort(key, kind="stable")
-    return Index(np.array([i for i, _ in items]), norm, slots, vocab, names, key[order], np.concatenate(item)[order], np.concatenate(at)[order], np.concatenate(values)[order])
+    return Index(np.array([i for i, _ in items]), norm, slots, vocab, names, key[order], np.concatenate(item)[order], np.concatenate(at)[order], np.concatenate(values)[order], *near)
 
 
 def canonical(words: list[str], norm: list[str], ix: Index) -> tuple[np.ndarray, np.ndarray]:
@@ -220,6 +280,34 @@ def join_windows(canon: np.ndarray, value: np.ndarray, ix: Index) -> tuple[np.nd
     return page, row, ((same > 0) & (wrong == 0)).astype(np.int64)
 
 
+def join_slots(norm: list[str], canon: np.ndarray, value: np.ndarray, ix: Index) -> dict[int, list[tuple[int, int]]]:
+    """By item, (place on page, place in item) of words that are close to a slot's value and have two of its neighbours."""
+    out: dict[int, list[tuple[int, int]]] = {}
+    at = np.flatnonzero((canon < FIRST) & (canon != UNIT))
+    if not len(at) or not len(ix.pairs):
+        return out
+    key = pair_keys(canon, value, at, len(ix.vocab), len(ix.names))
+    row, col = np.nonzero((key >= 0) & ix.maybe[table_place(key)])
+    key = key[row, col]
+    lo = np.searchsorted(ix.pairs, key, "left")
+    n = np.searchsorted(ix.pairs, key, "right") - lo
+    total = int(n.sum())
+    if not total:
+        return out
+    k = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    # What close() wants of lengths and letters.
+    bits, size = letters([norm[i] for i in at.tolist()])
+    of = np.repeat(row, n)
+    may = (np.abs(size[of] - ix.pair_size[k]) <= 1) & (np.bitwise_count(bits[of] ^ ix.pair_bits[k]) <= 2)
+    k, of = k[may], of[may]
+    found = {*zip(ix.pair_item[k].tolist(), at[of].tolist(), ix.pair_at[k].tolist())}
+    for item, i, j in sorted(found):
+        a, b = norm[i], ix.words[item][j]
+        if close(a, b):
+            out.setdefault(item, []).append((i, j))
+    return out
+
+
 def extend(page: list[str], item: list[str], slot: list[bool], i: int, j: int, step: int, seen: bytearray) -> tuple[int, int]:
     """Goes on from page word i and item word j; marks the item's words in ``seen``."""
     n, m = len(page), len(item)
@@ -271,23 +359,36 @@ def leaks(text: str, x0: list[int] | None, ix: Index) -> list[tuple[int, int, in
         norm = [x for x in norm if x]
     canon, value = canonical(words, norm, ix)
     page, row, equal = join_windows(canon, value, ix)
-    if not len(page):
+    near = join_slots(norm, canon, value, ix)
+    if not len(page) and not near:
         return []
     item = ix.item[row]
     n_hit = np.bincount(item, minlength=len(ix.ids))
     n_equal = np.bincount(item, equal, len(ix.ids)).astype(np.int64)
     out = []
-    for k in np.flatnonzero(n_equal).tolist():
+    for k in sorted({*np.flatnonzero(n_equal).tolist(), *near}):
         own, slot = ix.words[k], ix.slots[k]
         seen = bytearray(len(own))
-        for a, r in zip(page[(item == k) & (equal == 1)].tolist(), row[(item == k) & (equal == 1)].tolist()):
+        for a, r in zip(page[(item == k) & (equal == 1)].tolist(), row[(item == k) & (equal == 1)].tolist()) if n_equal[k] else ():
             j = int(ix.at[r])
             if all(seen[j : j + WINDOW]):
                 continue
             extend(norm, own, slot, a, j, 1, seen)
             extend(norm, own, slot, a, j, -1, seen)
+        done: list[tuple[int, int, int, int]] = []
+        for a, j in near.get(k, ()):
+            if seen[j] or any(x <= a <= y and u <= j <= v for x, y, u, v in done):
+                continue
+            part = bytearray(len(own))
+            y, v = extend(norm, own, slot, a, j, 1, part)
+            x, u = extend(norm, own, slot, a, j, -1, part)
+            done.append((x, y, u, v))
+            # As many words as a window has: a slot and its neighbours alone may be alike by chance.
+            if part.count(1) >= WINDOW:
+                seen = bytearray(map(max, seen, part))
         run = longest(seen, slot)
-        out.append((int(ix.ids[k]), run, int(n_hit[k]), int(n_equal[k])))
+        if run >= WINDOW or n_equal[k]:
+            out.append((int(ix.ids[k]), run, int(n_hit[k]), int(n_equal[k])))
     return out
 
 

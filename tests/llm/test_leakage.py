@@ -47,6 +47,26 @@ def test_runs():
     assert {i: r for i, r, _, _ in leaks(page(40, noise=0.1), None, ix)}[0] >= 30
 
 
+def test_misread_in_every_window():
+    ix = build(ITEMS)
+    part, slot = ix.words[0][5:35], ix.slots[0][5:35]
+    raw = ITEMS[0][1].split()[5:35]
+    plain = [k for k, s in enumerate(slot) if not s and len(part[k]) > 3]
+    for k in plain[::2]:
+        raw[k] = raw[k][:1] + "c" + raw[k][2:]
+    first = slot.index(True)
+    raw[first] = raw[first][:2] + "q" + raw[first][3:]
+    text = wrapped([*sentence(OTHER).split(), *raw, *sentence(OTHER).split()], hyphen=False)
+    got = {i: run for i, run, _, n in leaks(text, None, ix)}
+    assert not any(n for i, _, _, n in leaks(text, None, ix) if i == 0) and got[0] >= 26
+    # Names of which two letters differ are others.
+    for k, s in enumerate(slot):
+        if s:
+            raw[k] = raw[k][:1] + "qx" + raw[k][3:]
+    text = wrapped([*sentence(OTHER).split(), *raw, *sentence(OTHER).split()], hyphen=False)
+    assert all(run < 20 for _, run, _, _ in leaks(text, None, ix))
+
+
 def test_columns_and_adverts():
     ix = build(ITEMS)
     words = ITEMS[3][1].split()[:48]
