@@ -75,12 +75,12 @@ def paragraphs(text: str) -> list[tuple[int, str]]:
     return out
 
 
-def prose(text: str) -> list[tuple[int, str, int]]:
-    """(place, text, words) of the paragraphs of prose with LEAST_WORDS words or more."""
+def prose(text: str, least: int = LEAST_WORDS) -> list[tuple[int, str, int]]:
+    """(place, text, words) of the paragraphs of prose with ``least`` words or more."""
     out = []
     for k, p in paragraphs(text):
         n = len(_WORD.findall(_MARKUP.sub(" ", p) if _SIGN.search(p) else p))
-        if n >= LEAST_WORDS:
+        if n >= least:
             out.append((k, p, n))
     return out
 
@@ -207,6 +207,56 @@ def languages(df: DataFrame, record_id: str, fields: list[str], weights: np.ndar
     return map_batches(src, run, "field string, record_id bigint, place int, n_words int, lang string, confidence double" + "".join(f", {c} string" for c in keep))
 
 
+def segments(df: DataFrame, record_id: str, fields: list[str], weights: np.ndarray) -> DataFrame:
+    """field, record_id, place, n_words, lang, confidence of each value as a whole (place null) and of each of its paragraphs, however short.
+
+    A whole value has the language of most of its words, weighed by their confidence,
+    and their mean confidence; one of headers, lists and the like alone is scored as
+    it is.  Where there is no letter the language is ``und``, with confidence 0.
+    Null values give no row.
+    """
+    sent = df.sparkSession.sparkContext.broadcast(weights)  # DIM x 6
+    src = df.select(F.col(record_id).cast("bigint").alias("__id"), *[F.col(f).cast("string").alias(f"__f{k}") for k, f in enumerate(fields)])
+
+    def run(batch: pa.RecordBatch) -> dict[str, list]:
+        one_blas_thread()
+        ids = batch.column(0).to_pylist()
+        out: dict[str, list] = {n: [] for n in ("field", "record_id", "place", "n_words", "lang", "confidence")}
+        texts: list[str] = []
+        shown: list[tuple] = []  # field, record, paragraphs of the value
+        for k, f in enumerate(fields):
+            for i, v in zip(ids, batch.column(1 + k).to_pylist()):
+                if v is None:
+                    continue
+                own = prose(v, 1)
+                if not own and (n := len(_WORD.findall(v))):
+                    own = [(None, v, n)]
+                texts += [p for _, p, _ in own]
+                shown.append((f, i, [(place, n) for place, _, n in own]))
+        lang, conf = score(texts, sent.value)
+        at = 0
+
+        def put(*row) -> None:
+            for c, x in zip(out.values(), row):
+                c.append(x)
+
+        for f, i, parts in shown:
+            if parts:
+                n, own = np.array([x for _, x in parts], np.float64), slice(at, at + len(parts))
+                mass = np.bincount(lang[own], n * conf[own], len(LANGS))
+                top = int(mass.argmax())
+                put(f, i, None, int(n.sum()), LANGS[top], float(mass[top] / n[lang[own] == top].sum()))
+            else:
+                put(f, i, None, 0, "und", 0.0)
+            for place, words in parts:
+                if place is not None:
+                    put(f, i, place, words, LANGS[lang[at]], float(conf[at]))
+                at += 1
+        return out
+
+    return map_batches(src, run, "field string, record_id bigint, place int, n_words int, lang string, confidence double")
+
+
 def _messages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, np.ndarray]:
     m = load(spark, sf_dir, "messages")
     return m, train(m, "message_id", "text", "lang")
@@ -225,8 +275,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each message text: words and mean confidence by language, and the language of most words."""
+    """Of each text and extracted_text, whole (place null) and by paragraph (place: its first line): words, language and confidence."""
     m, weights = _messages(spark, sf_dir)
-    seg = languages(m, "message_id", ["text"], weights).dropDuplicates(["record_id", "place"])  # a repeated delivery's paragraphs are the same
-    by = seg.groupBy("record_id", "lang").agg(F.sum("n_words").alias("n_words"), F.avg("confidence").alias("confidence"))
-    return by.groupBy(F.col("record_id").alias("message_id")).agg(F.max_by("lang", F.struct("n_words", "lang")).alias("lang"), F.max_by("confidence", F.struct("n_words", "lang")).alias("confidence"), F.count("*").alias("n_languages"), F.sum("n_words").alias("n_words"))
+    out = segments(m, "message_id", ["text"], weights).unionByName(segments(load(spark, sf_dir, "message_extracts"), "message_id", ["extracted_text"], weights))
+    return out.dropDuplicates(["field", "record_id", "place"])  # a repeated delivery's paragraphs are the same

@@ -1,6 +1,6 @@
 import numpy as np
 
-from lettermill.llm.language import LANGS, base_language, fit, languages, paragraphs, prose, score, train
+from lettermill.llm.language import LANGS, base_language, fit, languages, paragraphs, prose, score, segments, train
 
 TEXTS = {
     "en": "The harbour board decided that the report will be shared with everyone before the next meeting on Monday",
@@ -56,3 +56,16 @@ def test_frame(spark):
     assert [r[0] for r in df.where("message_id in (900, 902)").orderBy("message_id").select(base_language(df.lang)).collect()] == ["en", None]
     empty = df.limit(0)
     assert languages(empty, "message_id", ["text"], train(empty, "message_id", "text", "lang")).collect() == []
+
+
+def test_every_value_and_stretch(spark):
+    rows = [(1, HELD["en"] + ".\n\nVielen Dank für Ihre Antwort.", HELD["ru"]), (2, "Спасибо большое", None), (3, "", "12 / 7"), (4, "- " + HELD["fr"], HELD["pl"] + ".\n\n" + HELD["es"] + ".")]
+    df = spark.createDataFrame(rows, "message_id bigint, text string, extracted_text string")
+    got = {(r.field, r.record_id, r.place): r for r in segments(df, "message_id", ["text", "extracted_text"], weights()).collect()}
+    lang = {k: r.lang for k, r in got.items()}
+    assert lang == {
+        ("text", 1, None): "en", ("text", 1, 0): "en", ("text", 1, 2): "de", ("extracted_text", 1, None): "ru", ("extracted_text", 1, 0): "ru", ("text", 2, None): "ru", ("text", 2, 0): "ru",
+        ("text", 3, None): "und", ("extracted_text", 3, None): "und", ("text", 4, None): "fr",
+        ("extracted_text", 4, None): lang["extracted_text", 4, None], ("extracted_text", 4, 0): "pl", ("extracted_text", 4, 2): "es",
+    }
+    assert all((r.confidence > 0.5) == (r.lang != "und") for r in got.values()) and got["text", 1, None].n_words == got["text", 1, 0].n_words + 5
