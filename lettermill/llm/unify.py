@@ -241,7 +241,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of equal-looking bodies: each consistent form's hash with its number of values and of spellings."""
-    df = load(spark, sf_dir, "messages")
-    form = consistent_form(df, "message_id", {"text": False})
-    return form.groupBy("field").agg(F.count("*").alias("n_values"), F.countDistinct(F.xxhash64("form")).alias("n_forms"), F.sum((F.col("reasons") > 0).cast("bigint")).alias("n_changed"))
+    """The consistent form of each text and html body, and its hash: equal-looking bodies have the same."""
+    form = consistent_form(load(spark, sf_dir, "messages"), "message_id", {"text": False, "html": True})
+    form = form.select("field", F.col("record_id").alias("message_id"), F.xxhash64("form").alias("form_hash"), "form", "reasons")
+    return form.dropDuplicates(["field", "message_id", "form_hash", "reasons"])  # a repeated delivery is the same body

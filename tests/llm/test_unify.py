@@ -3,7 +3,7 @@ import unicodedata
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lettermill.llm.unify import REASONS, consistent_form, unify
+from lettermill.llm.unify import REASONS, consistent_form, p2_forms, unify
 
 
 def brute(text):
@@ -43,3 +43,13 @@ def test_frame(spark):
     assert sorted((r.field, str(r.record_id), r.form.strip()) for r in got) == [("html", "1", "ab"), ("html", "2", "r s"), ("html", "None", ""), ("text", "1", "ab"), ("text", "1", "ab"), ("text", "2", "plain")]
     assert consistent_form(df.limit(0), "message_id", {"text": False}).collect() == []
     assert {(r.field, r.record_id) for r in consistent_form(df, "message_id", {"text": False, "html": True}, True).collect()} == {("text", 1), ("html", 1), ("html", 2)}
+
+
+def test_forms_of_equal_looking_bodies(spark, tmp_path):
+    rows = [(1, "cafe\u0301", "<p>caf&eacute;</p>"), (1, "cafe\u0301", "<p>caf&eacute;</p>"), (2, "café", "<p>cafe&#769;</p>"), (3, "coffee", None)]
+    spark.createDataFrame(rows, "message_id bigint, text string, html string").write.parquet(f"{tmp_path}/messages.parquet")
+    got = {(r.field, r.message_id): r for r in p2_forms(spark, str(tmp_path)).collect()}
+    assert set(got) == {("text", 1), ("text", 2), ("text", 3), ("html", 1), ("html", 2)}
+    for f in ("text", "html"):
+        assert got[f, 1].form.strip() == "café" and got[f, 1].form_hash == got[f, 2].form_hash
+    assert got["text", 3].form_hash != got["text", 1].form_hash
