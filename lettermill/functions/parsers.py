@@ -394,11 +394,25 @@ def doc_text(b: bytes) -> str:
     mini = 1 << struct.unpack_from("<H", b, 32)[0]
     first_dir, cutoff, first_mini = struct.unpack_from("<I", b, 48)[0], struct.unpack_from("<I", b, 56)[0], struct.unpack_from("<I", b, 60)[0]
     sector = lambda n: b[(n + 1) * size : (n + 2) * size]
+    if not 128 <= size <= 4096:
+        raise Unreadable("sectors of unknown size")
+    # The header lists the first 109 sectors of the allocation table; sectors of their own list the rest.
+    listed = list(struct.unpack_from("<109I", b, 76))
+    n, count = struct.unpack_from("<II", b, 68)
+    seen: set[int] = set()
+    while len(seen) < count:
+        s = sector(n)
+        if len(s) < size or n in seen:
+            raise Unreadable("list of the allocation table ends early")
+        seen.add(n)
+        *more, n = struct.unpack(f"<{size // 4}I", s)
+        listed += more
+    listed = [n for n in listed if n < 0xFFFFFFFA]
+    if len(listed) > len(b) // size:
+        raise Unreadable("allocation table larger than the file")
     fat: list[int] = []
-    for n in struct.unpack_from("<109I", b, 76):
-        if n < 0xFFFFFFFA:
-            s = sector(n)
-            fat += struct.unpack(f"<{len(s) // 4}I", s[: len(s) // 4 * 4])
+    for n in listed:
+        fat += struct.unpack(f"<{size // 4}I", sector(n).ljust(size, b"\xff"))
 
     def chain(n: int, table: list[int]) -> list[int]:
         out = []
@@ -407,6 +421,11 @@ def doc_text(b: bytes) -> str:
             n = table[n]
         return out
 
+    def whole(stream: bytes, name: str, length: int) -> bytes:
+        if len(stream) < length:
+            raise Unreadable(f"stream {name} ends early")
+        return stream[:length]
+
     directory = b"".join(sector(n) for n in chain(first_dir, fat))
     files: dict[str, tuple[int, int]] = {}
     for k in range(0, len(directory) - 127, 128):
@@ -421,8 +440,8 @@ def doc_text(b: bytes) -> str:
             raise Unreadable(f"no stream {name}")
         start, length = files[name]
         if length < cutoff:
-            return b"".join(root[n * mini : (n + 1) * mini] for n in chain(start, mini_fat))[:length]
-        return b"".join(sector(n) for n in chain(start, fat))[:length]
+            return whole(b"".join(root[n * mini : (n + 1) * mini] for n in chain(start, mini_fat)), name, length)
+        return whole(b"".join(sector(n) for n in chain(start, fat)), name, length)
 
     word = load("WordDocument")
     if len(word) < 0x1AA or struct.unpack_from("<H", word, 0)[0] != 0xA5EC:

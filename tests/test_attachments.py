@@ -179,6 +179,42 @@ def test_parsers():
     assert html_text("<h1>T</h1><p>a <b>b</b></p><img alt=x><script>z</script><table><tr><td>1</td><td>2</td></tr></table><a href=u>l</a>") == "T\n\na b\n\n 1 2\n\nl"
 
 
+def large_word97(text, at=7_300_000):
+    """Text so far on in the file that its allocation table has more sectors than the header lists."""
+    word = bytearray(-(-(at + len(text)) // 512) * 512)
+    struct.pack_into("<H", word, 0, 0xA5EC)
+    struct.pack_into("<H", word, 10, 0x0200)
+    struct.pack_into("<I", word, 0x4C, len(text))
+    clx = b"\x02" + struct.pack("<I", 16) + struct.pack("<II", 0, len(text)) + struct.pack("<HIH", 0, 0x40000000 | at * 2, 0)
+    struct.pack_into("<II", word, 0x1A2, 0, len(clx))
+    word[at : at + len(text)] = text.encode("cp1252")
+    table = clx.ljust(4096, b"\0")
+    n_word, n_fat = len(word) // 512, 125
+    first = n_fat + 2  # after the list, the allocation table and the directory
+    ends = first + n_word
+    fat = [0xFFFFFFFC] + [0xFFFFFFFD] * n_fat + [0xFFFFFFFE, *range(first + 1, ends), 0xFFFFFFFE, *range(ends + 1, ends + 8), 0xFFFFFFFE]
+    fat += [0xFFFFFFFF] * (n_fat * 128 - len(fat))
+
+    def entry(name, kind, start, size):
+        raw = (name + "\0").encode("utf-16-le")
+        return raw.ljust(64, b"\0") + struct.pack("<HBB", len(raw), kind, 1) + b"\xff" * 12 + b"\0" * 36 + struct.pack("<III", start, size, 0)
+
+    root = entry("Root Entry", 5, 0xFFFFFFFE, 0) + entry("WordDocument", 2, first, len(word)) + entry("1Table", 2, ends, len(table)) + bytes(128)
+    head = R.OLE + b"\0" * 16 + struct.pack("<HHHHH", 62, 3, 0xFFFE, 9, 6) + b"\0" * 10 + struct.pack("<8I", n_fat, n_fat + 1, 0, 4096, 0xFFFFFFFE, 0, 0, 1)
+    listed = struct.pack("<128I", *range(110, n_fat + 1), *[0xFFFFFFFF] * (127 - (n_fat - 109)), 0xFFFFFFFE)
+    return head + struct.pack("<109I", *range(1, 110)) + listed + struct.pack(f"<{len(fat)}I", *fat) + root + bytes(word) + table
+
+
+def test_large_doc():
+    good = large_word97("Body about revenue\rand costs")
+    assert 7_200_000 < len(good) < R.MAX_INPUT_BYTES
+    assert extract_one(good, "a.doc", None) == ("extracted", "Body about revenue\nand costs", None)
+    # The list of the allocation table is missing, or the stream ends before its declared length.
+    assert extract_one(good[:72] + bytes(4) + good[76:], "a.doc", None)[0] == "failed"
+    assert extract_one(good[:7_000_000], "a.doc", None)[0] == "failed"
+
+
+
 def test_contract():
     assert extract_one(b"", "x.pdf", "application/pdf") == ("extracted", None, None)
     assert extract_one(b"a" * (R.MAX_INPUT_BYTES + 1), "a.txt", None) == ("skipped", None, f"{R.MAX_INPUT_BYTES + 1} bytes exceeds {R.MAX_INPUT_BYTES}")
