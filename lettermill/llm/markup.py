@@ -221,7 +221,8 @@ def clean_text(df: DataFrame, record_id: str, fields: dict[str, bool], template:
         sent = spark.sparkContext.broadcast({h: sorted({r["tag"] for r in few if r["host"] == h}) for h in {r["host"] for r in few}})
         src = src.withColumn("__tags", F.lit(None).cast("string"))
     else:  # too many to send: each host's tags meet its pages in a join
-        sent = spark.sparkContext.broadcast({})
+        # A host without tags of its own takes those of all hosts, as above.
+        sent = spark.sparkContext.broadcast({ANY_HOST: sorted(r["tag"] for r in unknown.where(F.col("host") == ANY_HOST).collect())})
         own = unknown.groupBy(F.col("host").alias("__host")).agg(F.concat_ws(" ", F.array_sort(F.collect_set("tag"))).alias("__tags"))
         src = src.join(own, "__host", "left").select("__id", "__host", *[f"__f{k}" for k in range(len(fields))], "__tags")
 

@@ -1,3 +1,4 @@
+from lettermill.llm import markup
 from lettermill.llm.markup import clean, clean_text, residue, slots, templates, token_statistics
 
 
@@ -38,3 +39,18 @@ def test_frame(spark):
     assert clean_text(df.limit(0), "message_id", {"html": True}, templates(token_statistics(df.limit(0), "message_id", "host", "html")), "host").collect() == []
     plain = clean_text(df.where("message_id = 200"), "message_id", {"html": False}, template).first()
     assert plain.families == ["html"]
+
+
+def test_joined_templates_are_the_sent_ones(spark, monkeypatch):
+    rows = [(i, "h.test", PAGE.format("menu", f"text {i}")) for i in range(6)] + [(100, "g.test", "<x:frame>own</x:frame>"), (101, None, "<x:frame>none</x:frame>")]
+    df = spark.createDataFrame(rows, "message_id bigint, host string, html string")
+    # Over all hosts the tag stands in a class of its own.
+    template = templates(token_statistics(df, "message_id", "host", "html")).persist()
+
+    def texts(host):
+        return {r.record_id: r.text for r in clean_text(df, "message_id", {"html": True}, template, host).collect()}
+
+    sent = texts("host"), texts(None)
+    monkeypatch.setattr(markup, "MOST_SENT", 0)
+    joined = texts("host"), texts(None)
+    assert joined == sent and all("x:frame" not in t for x in joined for t in x.values())
