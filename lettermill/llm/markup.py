@@ -5,11 +5,16 @@ Templates are deduced from pages of one host.  A token is a tag with its role
 stands on each page of the host.  Vectors are compared by fingerprint, a sum over
 pages of a hash of page and count, so equal vectors need no vector in one place:
 it is a plain aggregation that combines before it shuffles.  Tokens with the same
-vector form an equivalence class; classes of opening and closing tags that nest
-on every page, on enough pages, make up the host's template.  On each page the
-template's tags part the slots; slots are taken out as lines, with headings,
-lists, code and formulas kept, and what still looks like markup in them is
-residue, of family html, markdown, wiki or latex.
+vector form an equivalence class; classes with opening and closing tags, on pages
+that mostly nest well, make up the host's template.
+
+Pages are not parted at the template's tags, nor are classes nested by the places
+of their tokens: rendering replaces that.  What counts is what a reader sees, and
+there marks go on over tags within a line, which slots would part.  Of the classes
+only tags that HTML doesn't know are used, to take them off like its own.  The
+rendered page is taken out as lines, with headings, lists, code and formulas kept,
+and what still looks like markup in it is residue, of family html, markdown, wiki
+or latex.
 """
 
 from __future__ import annotations
