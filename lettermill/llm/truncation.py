@@ -119,6 +119,23 @@ def _lognormal_fit(x: np.ndarray, n: np.ndarray, censored: np.ndarray) -> tuple[
     return float(mu), sd, ll
 
 
+def crowded(length: np.ndarray, n: np.ndarray, often: set[int]) -> list[int]:
+    """Lengths, of increasing ``length`` with counts ``n``, whose window holds many values, the lengths below it few and those above it hardly any.
+
+    Those in ``often`` all; of others, whose windows overlap, the fullest.
+    """
+    below = np.concatenate([[0.0], np.cumsum(n)])  # values below each place
+    upto = lambda x: below[np.searchsorted(length, x, "left")]
+    low, high = upto(length - BELOW), upto(length + ABOVE + 1)
+    share = high - low
+    fit = np.flatnonzero((share >= 5) & (below[-1] - high <= 0.02 * share) & (share >= 4 * (low - upto(length - 6 * BELOW)) / 5))
+    out = [x for x in length[fit].tolist() if x in often]
+    for k in sorted(fit.tolist(), key=lambda k: (-share[k], -n[k], -length[k])):
+        if all(abs(length[k] - x) > BELOW + ABOVE for x in out):
+            out.append(int(length[k]))
+    return out
+
+
 def fit_source(hist: pd.DataFrame) -> pd.DataFrame:
     """Limits of one source from its histogram of (unit, length, n)."""
     rows = []
@@ -129,7 +146,9 @@ def fit_source(hist: pd.DataFrame) -> pd.DataFrame:
             continue
         # A limit's window holds far more values than the law allows and hardly any stand above it.
         top = int(length[-1])
-        marks = np.array(sorted({top, *(c for c in length[np.argsort(-n)][:8].tolist())}))
+        often = {top, *(c for c in length[np.argsort(-n)][:8].tolist())}
+        # Cuts spread over many lengths pile up at none of them, but crowd a window.
+        marks = np.array(sorted({*often, *crowded(length, n, often)}))
         x = np.log(length)
         none = np.zeros(len(x), bool)
         mu0, sd0, ll0 = _lognormal_fit(x, n, none)

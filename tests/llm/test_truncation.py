@@ -31,6 +31,18 @@ def test_limits():
     assert len(fit_source(hist(n))) == 0
 
 
+def test_limit_of_spread_cuts():
+    r = np.random.default_rng(2)
+    n = np.exp(r.normal(6.2, 0.6, 1200)).astype(int)
+    # Every cut at another length below 1000, some lengths more often than any of them, one longer outlier.
+    n = np.where(n > 980, 1000 - np.arange(len(n)) % 17, n)
+    n = np.concatenate([n, np.repeat([210, 260, 310, 360, 410, 460, 510, 560], 40), [1900]])
+    length, count = np.unique(n, return_counts=True)
+    assert not np.isin(length[np.argsort(-count)][:8], np.arange(984, 1001)).any()
+    got = fit_source(pd.DataFrame({"unit": "char", "length": length, "n": count}))
+    assert len(got) == 1 and 992 <= got["limit"][0] <= 1000
+
+
 def test_frame(spark):
     r = random.Random(5)
     word = lambda: r.choice(["pier", "mill", "harbour", "school", "board", "winter"])
