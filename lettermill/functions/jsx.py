@@ -24,8 +24,13 @@ def pattern(text: str) -> str:
     return text
 
 
+#: The white-space set as the characters themselves.
+BLANKS = "".join(chr(c) for c in (*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))
+
+
 def js_trim(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, f"^{WS}+", ""), f"{WS}+{END}", "")
+    """Without white space at both ends; no pattern, as one for the end of a text tries every gap before it."""
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def split_lines(c: Column) -> Column:
@@ -39,3 +44,23 @@ def matches(c: Column, text: str) -> Column:
 def first_position(c: Column, text: str) -> Column:
     """Code points before the first match; the length where nothing matches."""
     return F.length(F.element_at(F.split(c, pattern(text), 2), 1))
+
+
+def holds_any(low: Column, words: tuple[str, ...]) -> Column:
+    """Whether a lower-case text holds one of some literals: a plain byte search, as a gate before patterns."""
+    out = low.contains(words[0])
+    for w in words[1:]:
+        out = out | low.contains(w)
+    return out
+
+
+def holds_all(low: Column, words: tuple[str, ...]) -> Column:
+    out = low.contains(words[0])
+    for w in words[1:]:
+        out = out & low.contains(w)
+    return out
+
+
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once, however often ``then`` takes it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))

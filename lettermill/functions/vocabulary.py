@@ -21,6 +21,8 @@ DSN_HEADLINES = (
     "i'?m sorry to have to inform you", "could not be delivered",
 )
 DSN_PHRASE = "rejected your message"
+#: In lower case, what any of the above has.
+DSN_HINTS = ("deliver", "address not found", "undelivered", "returned mail", "message blocked", "this is the mail system", "created automatically by mail", "sorry to have to inform you", "-mta:", "-recipient:", "diagnostic-code", "action:", "status:", "rejected your message")
 FORWARD_LINE = "(?i)^(?:-+<s>*forwarded message<s>*-+|begin forwarded message:?)<s>*<$>"
 FORWARD_HTML = "(?i)-+<s>*forwarded message<s>*-+|begin forwarded message:"
 PASTED_FORWARD = "(?i)^(?:fw|fwd):<s>*<S>"
@@ -42,6 +44,9 @@ NOISE = (
     "(?i)^<s>*your personal data<e>",
 )
 
+#: In lower case, what a line of boilerplate has in any case.
+NOISE_HINTS = ("sent from ", "get outlook for ", "browser", "receiving this ", "received this ", "preferences", "subscription", "unsubscribe", "confidential", "privileged", "intended ", "designated ", "not secure", "print this ", "your personal data")
+
 #: Client wrappers and text marks that open quoted history in HTML; (name, pattern).
 HTML_MARKERS = (
     ("gmail_quote", "(?i)<div[^>]*gmail_quote"),
@@ -57,5 +62,20 @@ HTML_MARKERS = (
     ("arabic_wrote", "كتب<s>*[:：]"),
     ("original_message", "(?i)-+<s>*(?:" + "|".join(DIVIDER_WORDS) + ")<s>*-*"),
 )
+#: In lower case, what each mark has in any case: all the words of one group.
+HTML_HINTS = {
+    "gmail_quote": (("gmail_quote",),),
+    "blockquote": (("<blockquote",),),
+    "append_on_send": (("appendonsend",),),
+    "outlook_rule": (("<hr", "98%"),),
+    "reply_forward": (("divrplyfwdmsg",),),
+    "on_wrote": (("wrote:",),),
+    "from_address": tuple((f"{x}:", "@") for x in ("from", "von", "de", "van", "da", "fra", "från")),
+    "foreign_wrote": tuple((x,) for x in ("a écrit", "a ecrit", "escribi", "ha scritto", "escreveu", "schrieb", "schreef", "geschreven", "verzond", "skrev", "napisa", "написал", "đã vi", "yazd", "a scris")),
+    "chinese_wrote": (("写道",),),
+    "chinese_from": (("发件人",),),
+    "arabic_wrote": (("كتب",),),
+    "original_message": (("original message",), ("sprüngliche nachricht",), ("oprindelig meddelelse",), ("reply message",), ("antwort nachricht",)),
+}
 BLOCK_END = "(?i)(?<=</(?:div|p|tr|td|li|table|blockquote)>)"
 SIGNATURE_SPAN = 400

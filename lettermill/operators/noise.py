@@ -6,26 +6,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.jsx import js_trim, matches, pattern, split_lines
+from ..functions.jsx import holds_any, js_trim, matches, pattern, split_lines
 
 
 #: All marks as one pattern, so that a line is read once.
 _ALL = "(?i)" + "|".join(f"(?:{p.removeprefix('(?i)')})" for p in V.NOISE)
-#: The marks at any line of a text, or anywhere in a page's flat text: bodies without any skip the search by line or block.
-_SOME = "(?m)" + _ALL
-_ANYWHERE = "(?i)" + "|".join(f"(?:{p.removeprefix('(?i)').removeprefix('^')})" for p in V.NOISE)
 
 
 def is_noise(line: Column) -> Column:
     return matches(line, _ALL)
 
 
+def _hinted(text: Column) -> Column:
+    """Whether a text may hold boilerplate at all: most don't, and aren't searched by line or block."""
+    return holds_any(F.lower(text), V.NOISE_HINTS)
+
+
 def strip_noise(text: Column) -> Column:
     """Drops the first line of boilerplate and all below it; line ends become LF."""
     lines = split_lines(text)
-    at = F.array_position(F.transform(lines, is_noise), True)
+    at = F.array_position(F.transform(lines, lambda x: _hinted(x) & is_noise(x)), True)
     cut = F.array_join(F.when(at > 0, F.slice(lines, 1, (at - 1).cast("int"))).otherwise(lines), "\n")
-    return js_trim(F.when(matches(text, _SOME), cut).otherwise(F.regexp_replace(text, r"\r\n", "\n")))
+    return js_trim(F.when(_hinted(text), cut).otherwise(F.replace(text, F.lit("\r\n"), F.lit("\n"))))
 
 
 def block_text(block: Column) -> Column:
@@ -45,4 +47,5 @@ def strip_noise_html(html: Column) -> Column:
     blocks = html_blocks(html)
     at = F.array_position(F.transform(blocks, lambda b: is_noise(block_text(b))), True)
     cut = F.array_join(F.when(at > 0, F.slice(blocks, 1, (at - 1).cast("int"))).otherwise(blocks), "")
-    return js_trim(F.when(matches(block_text(html), _ANYWHERE), cut).otherwise(html))
+    # A block's phrase may be parted by tags and gaps: hints are looked for in the flat text.
+    return js_trim(F.when(_hinted(block_text(html)), cut).otherwise(html))
