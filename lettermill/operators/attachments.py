@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 from ..functions import archive, parsers
 from ..functions import registry as R
 from ..functions.charset import decode
-from ..functions.jsx import WS
+from ..functions.jsx import BLANKS, WS
 from ..functions.routing import detect_route, parse_type
 
 ROUTE = StructType().add("kind", "string").add("routed_by", "string")
@@ -65,8 +65,6 @@ def cap(text: str, most: int = R.MAX_OUTPUT_CHARS) -> str:
     return units[: 2 * most].decode("utf-16-le", "surrogatepass")
 
 
-_BLANK = "".join(chr(c) for c in (*range(9, 14), 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))
-
 
 def extract_one(b: bytes, filename: str | None, content_type: str | None, timeout_ms: int = R.HANDLER_TIMEOUT_MS) -> tuple[str, str | None, str | None]:
     """(status, extraction or None, reason or None); never raises."""
@@ -81,10 +79,7 @@ def extract_one(b: bytes, filename: str | None, content_type: str | None, timeou
             return "skipped", None, f"unsupported type {t}" if t else "unrecognized attachment"
         entries: dict = {}
         if kind in ("docx", "xlsx"):
-            verdict = archive.preflight(b, R.MAX_UNCOMPRESSED_BYTES)
-            if not verdict.ok:
-                return verdict.status, None, verdict.reason
-            entries = verdict.entries
+            entries = archive.measured(b, R.MAX_UNCOMPRESSED_BYTES)
         with time_limit(timeout_ms):
             text = {
                 "text": lambda: decode(b, charset),
@@ -94,7 +89,9 @@ def extract_one(b: bytes, filename: str | None, content_type: str | None, timeou
                 "doc": lambda: parsers.doc_text(b),
                 "xlsx": lambda: parsers.xlsx_text(b, entries),
             }[kind]()
-        return "extracted", cap(text) if text.strip(_BLANK) else None, None
+        return "extracted", cap(text) if text.strip(BLANKS) else None, None
+    except archive.Refused as e:
+        return e.status, None, str(e)
     except Exception as e:  # the bytes may be hostile: an error is an answer
         return "failed", None, str(e) or type(e).__name__
 

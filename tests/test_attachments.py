@@ -13,7 +13,7 @@ from lettermill.functions import archive
 from lettermill.functions import registry as R
 from lettermill.functions.charset import decode
 from lettermill.functions.parsers import html_text
-from lettermill.functions.routing import detect_route, well_formed_utf16
+from lettermill.functions.routing import detect_route, readable_utf16
 from lettermill.operators.attachments import HandlerTimeout, cap, detect_route_udf, extract_attachments, extract_one, routes, time_limit
 
 DOCX = R.CONTENT_TYPES["docx"][0]
@@ -115,10 +115,10 @@ def test_route(content, name, declared, route):
 
 def test_utf16_structure():
     ok = "a😀".encode("utf-16-le")
-    assert well_formed_utf16(ok, False) and not well_formed_utf16(b"\x00\xd8a\x00", False) and not well_formed_utf16(b"\x00\xdc", False)
-    assert not well_formed_utf16(b"\xfe\xff", False) and not well_formed_utf16(b"a", False)
+    assert readable_utf16(ok, "utf-16-le") and not readable_utf16(b"\x00\xd8a\x00", "utf-16-le") and not readable_utf16(b"\x00\xdc", "utf-16-le")
+    assert not readable_utf16(b"\xfe\xff", "utf-16-le") and not readable_utf16(b"a", "utf-16-le")
     edge = b"a\x00" * 4095 + b"\x3d\xd8"
-    assert well_formed_utf16(edge + b"\x00\xde", False) and not well_formed_utf16(edge, False)
+    assert readable_utf16(edge + b"\x00\xde", "utf-16-le") and not readable_utf16(edge, "utf-16-le")
 
 
 @pytest.mark.parametrize(
@@ -142,7 +142,7 @@ def test_decode(raw, hint, text):
 
 def test_preflight_reasons():
     good = docx("a")
-    end = good.rfind(archive.END)
+    end = good.rfind(archive.END_MARK)
     start = struct.unpack_from("<I", good, end + 16)[0]
 
     def patched(at, value, size="<I"):
@@ -150,8 +150,13 @@ def test_preflight_reasons():
         struct.pack_into(size, b, at, value)
         return bytes(b)
 
-    why = lambda b, cap_=1 << 20: (lambda v: (v.status, v.reason))(archive.preflight(b, cap_))
-    assert archive.preflight(good, 1 << 20).ok
+
+    def why(b, most=1 << 20):
+        with pytest.raises(archive.Refused) as e:
+            archive.measured(b, most)
+        return e.value.status, str(e.value)
+
+    assert archive.measured(good, 1 << 20)
     assert "no end-of-central" in why(b"PK")[1] and why(b"PK")[0] == "failed"
     assert why(patched(end + 10, 0xFFFF, "<H"))[0] == "skipped"
     assert "does not end" in why(patched(end + 16, start + 1))[1]
@@ -165,7 +170,7 @@ def test_preflight_reasons():
     assert why(zipped({"word/document.xml": b"a" * 5000}, zipfile.ZIP_STORED), 4999)[0] == "skipped"
     two = zipped({"word/document.xml": "a", "b": "b"})
     b = bytearray(two)
-    struct.pack_into("<H", b, two.rfind(archive.END) + 10, 1)
+    struct.pack_into("<H", b, two.rfind(archive.END_MARK) + 10, 1)
     assert "more records" in why(bytes(b))[1]
 
 
@@ -245,3 +250,31 @@ def test_frames(spark):
     assert extract_attachments(df.limit(0)).collect() == []
     r = df.where("attachment_id = 1").select(detect_route_udf("content", "filename", "content_type").alias("r")).first().r
     assert (r.kind, r.routed_by) == ("text", "content-type")
+
+
+SENTENCES = {
+    "shift_jis": "東京の天気は晴れです。明日の会議は午後三時からになりますので、よろしくお願いします。",
+    "euc_jp": "東京の天気は晴れです。明日の会議は午後三時からになりますので、よろしくお願いします。",
+    "gb2312": "我们的会议在明天下午三点开始，请大家准时到，不要来得太晚。这个地方有人在学中文。",
+    "big5": "我們的會議在明天下午三點開始，請大家準時到，不要來得太晚。這個地方有人在學中文。",
+    "euc_kr": "내일 오후 세 시에 회의가 있습니다. 이 문서는 한국어로 쓰여 있으며 다시 읽어 주시기 바랍니다.",
+    "cp1251": "Добрый день, встреча состоится завтра в три часа дня в главном здании.",
+    "koi8_r": "Добрый день, встреча состоится завтра в три часа дня в главном здании.",
+    "cp1253": "Η συνάντηση θα γίνει αύριο το απόγευμα στις τρεις η ώρα στο κεντρικό κτίριο.",
+    "cp1255": "הפגישה תתקיים מחר אחר הצהריים בשעה שלוש בבניין הראשי של החברה.",
+    "cp1256": "سيعقد الاجتماع غدا بعد الظهر في الساعة الثالثة في المبنى الرئيسي للشركة.",
+    "cp874": "การประชุมจะจัดขึ้นในวันพรุ่งนี้เวลาสามโมงเย็นที่อาคารหลักของบริษัท",
+    "cp1250": "Spotkanie odbędzie się jutro po południu o trzeciej w głównym budynku, proszę się nie spóźnić, ważna sprawa.",
+    "cp1252": "Die Besprechung beginnt morgen früh um zehn Uhr im großen Gebäude über der Straße, schöne Grüße.",
+}
+
+
+@pytest.mark.parametrize("charset", SENTENCES)
+def test_detected_charsets(charset):
+    text = SENTENCES[charset] * 3
+    assert decode(text.encode(charset)) == text
+
+
+@pytest.mark.parametrize("name", ["rot13", "base64", "idna", "no-such-set", "", None])
+def test_names_that_are_no_charsets(name):
+    assert decode("für".encode("cp1252"), name) == "für"
