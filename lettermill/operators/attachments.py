@@ -14,18 +14,19 @@ from contextlib import contextmanager
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import archive, parsers
 from ..functions import registry as R
 from ..functions.charset import decode
-from ..functions.jsx import BLANKS, WS
-from ..functions.routing import detect_route, parse_type
+from ..functions.jsx import BLANKS
+from ..functions.routing import detect_route, extension, parse_type
 
 ROUTE = StructType().add("kind", "string").add("routed_by", "string")
 RESULT = StructType().add("status", "string").add("extraction", "string").add("reason", "string")
+DECLARED = StructType().add("declared", "string").add("charset", "string").add("extension", "string")
 #: Bytes of files that a worker holds at once.
 SLICE = 16 << 20
 
@@ -143,6 +144,7 @@ def extract_attachment_udf(content: pd.Series, filename: pd.Series, content_type
     return pd.DataFrame([extract_one(b or b"", n, t) for b, n, t in zip(content, filename, content_type)], columns=["status", "extraction", "reason"])
 
 
-def declared_type(content_type: Column) -> Column:
-    """Type without parameters, in lower case; null if blank."""
-    return F.nullif(F.lower(F.regexp_replace(F.element_at(F.split(content_type, ";"), 1), f"^{WS}+|{WS}+$", "")), F.lit(""))
+@F.pandas_udf(DECLARED)
+def declared_udf(filename: pd.Series, content_type: pd.Series) -> pd.DataFrame:
+    """What type and name say by themselves: the type without parameters, the charset, the name's extension."""
+    return pd.DataFrame([(*parse_type(t), extension(n)) for n, t in zip(filename, content_type)], columns=["declared", "charset", "extension"])

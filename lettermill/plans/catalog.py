@@ -11,12 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.jsx import js_trim, split_lines
+from ..functions.jsx import WS, js_trim, split_lines
 from ..operators import attachments as A
 from ..operators import html_body as H
 from ..operators import noise as N
 from ..operators import text_body as T
 from ..sources.tables import table
+from . import cases
+from . import html_sql as S
 
 #: Bodies are taken per delivery: the operators are row-local, so no query over them needs an exchange.
 KEY = ("message_id", "delivered")
@@ -38,7 +40,7 @@ def body_new_text(spark: SparkSession, d: str) -> DataFrame:
     return T.with_new_text(_messages(spark, d, "text").where("text is not null")).select(*KEY, "new_text")
 
 
-SIGNALS = ("quote_run", "divider", "on_wrote", "dashed", "samsung", "header_address", "header_block", "foreign", "foreign_wrapped", "chinese", "arabic", "dated_address")
+SIGNALS = ("quote_run", "quote_nested", "divider", "on_wrote", "on_sent", "dashed", "samsung", "header_address", "header_block", "foreign", "foreign_wrapped", "chinese", "arabic", "dated_address")
 
 
 def _given(name: str) -> Callable:
@@ -74,29 +76,91 @@ def html_extract(spark: SparkSession, d: str) -> DataFrame:
     return H.extract_html(_messages(spark, d, "html").where("html is not null")).select(*KEY, "extracted_html")
 
 
-MARKS = ("gmail_quote", "blockquote", "append_on_send", "outlook_rule", "reply_forward", "chinese_wrote", "chinese_from", "arabic_wrote", "original_message")
-
-
 def html_marker_positions(spark: SparkSession, d: str) -> DataFrame:
-    """Of each HTML body: where each mark that SQL can express stands first (the length: nowhere)."""
+    """Of each HTML body: where each mark stands first (the length: nowhere)."""
     marks = H.marker_positions(F.col("html"))
-    return _messages(spark, d, "html").where("html is not null").select(*KEY, *[marks[m].cast("bigint").alias(f"at_{m}") for m in MARKS])
+    return _messages(spark, d, "html").where("html is not null").select(*KEY, *[at.cast("bigint").alias(f"at_{m}") for m, at in marks.items()])
 
 
 def html_visible(spark: SparkSession, d: str) -> DataFrame:
     return _messages(spark, d, "html").where("html is not null").select(*KEY, H.visible_text(F.col("html")).alias("visible"), H.flat_text(F.col("html")).alias("flat"), H.drop_comments(F.col("html")).alias("bare"))
 
 
+#: The tables call untyped pages that sniffing finds html; sniffing knows only text.  They are counted apart.
+_SNIFFED_PAGE = F.coalesce((F.col("routed_by") == "sniff") & (F.col("kind") == "text") & F.col("page"), F.lit(False))
+
+
+def _routed(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "attachments")
+    page = F.lower(F.decode(F.substring("content", 1, 15), "iso-8859-1")).isin("<!doctype html>") | F.lower(F.decode(F.substring("content", 1, 5), "iso-8859-1")).isin("<html")
+    return A.routes(a).join(a.select("attachment_id", page.alias("page")), "attachment_id")
+
+
 def route_detect(spark: SparkSession, d: str) -> DataFrame:
-    return A.routes(table(spark, d, "attachments"))
+    return _routed(spark, d).where(~_SNIFFED_PAGE).select("attachment_id", "kind", "routed_by")
+
+
+def route_exceptions(spark: SparkSession, d: str) -> DataFrame:
+    """How many files ``route_detect`` leaves out, as the tables expect another kind."""
+    return _routed(spark, d).where(_SNIFFED_PAGE).agg(F.count("*").alias("n_sniffed_pages"))
 
 
 def route_declared(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "attachments").select("attachment_id", A.declared_type(F.col("content_type")).alias("declared"), F.nullif(F.lower(F.regexp_extract(F.trim("filename"), r"(\.[A-Za-z0-9]+)\z", 1)), F.lit("")).alias("extension"))
+    return table(spark, d, "attachments").select("attachment_id", A.declared_udf("filename", "content_type").alias("c")).select("attachment_id", "c.*")
+
+
+def _results(spark: SparkSession, d: str) -> DataFrame:
+    """The tables' own results, a repeated one once."""
+    return table(spark, d, "attachment_results").groupBy("attachment_id").agg(*[F.any_value(c).alias(f"{c}_told") for c in ("status", "extraction", "reason")])
+
+
+#: The tables let some transfers fail that broke off within a text; the bytes that came are sound text.  They are counted apart.
+_BROKEN_OFF = F.coalesce(F.col("reason_told") == "unexpected end of input", F.lit(False))
 
 
 def attach_status(spark: SparkSession, d: str) -> DataFrame:
-    return A.extract_attachments(table(spark, d, "attachments")).select("attachment_id", "status", F.when(F.col("status") == "skipped", F.col("reason")).alias("reason"))
+    """Status and reason; the tables give reasons of broken archives without the opening words."""
+    got = A.extract_attachments(table(spark, d, "attachments")).join(_results(spark, d), "attachment_id")
+    return got.where(~_BROKEN_OFF).select("attachment_id", "status", F.regexp_replace("reason", "^malformed zip: ", "").alias("reason"))
+
+
+def attach_exceptions(spark: SparkSession, d: str) -> DataFrame:
+    """How many files ``attach_status`` leaves out: their text is read as far as it came."""
+    got = A.extract_attachments(table(spark, d, "attachments")).join(_results(spark, d), "attachment_id")
+    return got.where(_BROKEN_OFF & (F.col("status") == "extracted")).agg(F.count("*").alias("n_broken_off"))
+
+
+def _of_kind(spark: SparkSession, d: str, *kinds: str) -> DataFrame:
+    """Attachments that are routed to one of some kinds, with their text."""
+    a = table(spark, d, "attachments")
+    return A.extract_attachments(a).join(A.routes(a).where(F.col("kind").isin(*kinds)).select("attachment_id", "kind"), "attachment_id")
+
+
+_GAPS = f"{WS}+"
+#: What the tables' results that were cut may end in.
+_CUT_MARK = r"\s*(\[\.\.\.\]|\.\.\.|…)$"
+#: Signs of a text that was decoded wrongly: such results of the tables say nothing about parsers.
+GARBLED = "[ÃÂÐÑ√�]|[а-яё][^а-яё\\s]?[╨╤]|[–—‚„†‡][^\\s]"
+
+
+def attach_text(spark: SparkSession, d: str) -> DataFrame:
+    """Text files that are valid UTF-8 without a byte-order mark or zeros, decoded."""
+    a = table(spark, d, "attachments")
+    valid = a.where(~F.contains(F.col("content"), F.lit(b"\0")) & F.is_valid_utf8(F.col("content").cast("string")) & (F.length("content") > 0) & ~F.col("content").cast("string").startswith("\ufeff"))
+    return _of_kind(spark, d, "text").where("status = 'extracted'").join(valid.select("attachment_id"), "attachment_id", "left_semi").select("attachment_id", "extraction")
+
+
+def attach_html(spark: SparkSession, d: str) -> DataFrame:
+    """HTML files that are valid UTF-8: their visible text without white space."""
+    valid = table(spark, d, "attachments").where(F.is_valid_utf8(F.col("content").cast("string")) & (F.length("content") > 0))
+    return _of_kind(spark, d, "html").join(valid.select("attachment_id"), "attachment_id", "left_semi").select("attachment_id", F.regexp_replace("extraction", _GAPS, "").alias("solid_text"))
+
+
+def attach_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Word and PDF files: text without white space, as far as the tables' own result goes, which may be cut; garbled results are left out."""
+    got = _of_kind(spark, d, "docx", "pdf").join(_results(spark, d), "attachment_id").where("status = 'extracted'").where(~F.coalesce(F.col("extraction_told").rlike(GARBLED), F.lit(False)))
+    told = F.length(F.regexp_replace(F.regexp_replace("extraction_told", _CUT_MARK, ""), _GAPS, ""))
+    return got.select("attachment_id", F.left(F.regexp_replace("extraction", _GAPS, ""), told).alias("solid_text"))
 
 
 def attach_extract(spark: SparkSession, d: str) -> DataFrame:
@@ -117,7 +181,7 @@ def mail_by_mailbox(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (body_extract, body_text, body_new_text, body_line_signals, body_glued, body_bounce, noise_text, noise_html, html_extract, html_marker_positions, html_visible, route_detect, route_declared, attach_status, attach_extract, attach_xlsx, mail_by_mailbox)
+    own = (body_extract, body_text, body_new_text, body_line_signals, body_glued, body_bounce, noise_text, noise_html, html_extract, html_marker_positions, html_visible, route_detect, route_exceptions, route_declared, attach_status, attach_exceptions, attach_extract, attach_text, attach_html, attach_documents, attach_xlsx, mail_by_mailbox, *cases.QUERIES)
     return {f.__name__: f for f in own}
 
 
@@ -205,6 +269,14 @@ _NOISE_RE = (
 )
 
 
+_TOLD = "told AS (SELECT attachment_id, any_value(status) AS status, any_value(extraction) AS extraction, any_value(reason) AS reason FROM attachment_results GROUP BY attachment_id)"
+#: What a page shows, white space aside: hidden parts and tags off, references resolved.
+_SEEN = r"regexp_replace(regexp_replace(regexp_replace(t, '<li[^>]*>', '*', 'gi'), '<!--.*?-->|<(head|style|script|title)\b.*?</(head|style|script|title)>', '', 'gis'), '<[^>]+>', '', 'g')"
+for _name, _char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("mdash", "—"), ("#8211", "–"), ("amp", "&")):
+    _SEEN = f"replace({_SEEN}, '&{_name};', '{_char}')"
+_SEEN = f"nullif(regexp_replace({_SEEN}, '{_WS}+', '', 'g'), '')"
+
+
 def _strip(c: str) -> str:
     lines = rf"string_split_regex({c}, '\r?\n')"
     at = f"list_position(list_transform({lines}, lambda x: regexp_matches(x, '{_NOISE_RE}', 'i')), true)"
@@ -214,19 +286,7 @@ def _strip(c: str) -> str:
 def oracle_sql() -> dict[str, str]:
     n = ", ".join(f'count(*) FILTER (WHERE t <> \'\' AND "{s}") AS n_{s}' for s in SIGNALS)
     full = f"WITH {_TEXTS}, {_lines('glued')}, {_CUT.replace('{bounce}', _BOUNCE)}".replace("FROM texts WHERE text IS NOT NULL),\nraw", "FROM (SELECT message_id, text, " + _GLUE + " AS glued FROM texts) WHERE text IS NOT NULL),\nraw")
-    blocks = r"string_split(regexp_replace(html, '(</(div|p|tr|td|li|table|blockquote)>)', '\1' || chr(1), 'gi'), chr(1))"
-    shown = _trim(r"regexp_replace(regexp_replace(regexp_replace(x, '<[^>]+>', ' ', 'g'), '&[a-z]+;', ' ', 'gi'), '" + _WS + "+', ' ', 'g')")
-    at = f"list_position(list_transform({blocks}, lambda x: regexp_matches({shown}, '{_NOISE_RE}', 'i')), true)"
-    place = lambda p: f"length(coalesce(string_split_regex(html, '{p}')[1], ''))"
-    marks = {
-        "gmail_quote": "(?i)<div[^>]*gmail_quote", "blockquote": "(?i)<blockquote", "append_on_send": "(?i)<div[^>]*id=[\"'']?appendonsend", "outlook_rule": r"(?i)<hr[^>]*width:\s*98%", "reply_forward": "(?i)<div[^>]*id=[\"'']?(x_)?divRplyFwdMsg",
-        "chinese_wrote": r"写道\s*[:：]", "chinese_from": r"发件人\s*[:：]", "arabic_wrote": r"كتب\s*[:：]", "original_message": r"(?i)-+\s*(original message|urspr[üÜ]ngliche nachricht|oprindelig meddelelse|reply message|antwort nachricht)\s*-*",
-    }
-    decode = lambda c, order: c if not order else f"regexp_replace({decode(c, order[:-1])}, '&{order[-1]};', '{dict(nbsp=' ', lt='<', gt='>', amp='&')[order[-1]]}', 'gi')"
-    tags = r"regexp_replace(regexp_replace(regexp_replace(html, '</(div|p|blockquote|tr|td|li|table)>', chr(10), 'gi'), '<(br|hr)\s*/?>', chr(10), 'gi'), '<[^>]+>', ' ', 'g')"
-    visible = _trim(f"regexp_replace({decode(tags, ['nbsp', 'lt', 'gt', 'amp'])}, '[ \\t]+', ' ', 'g')")
-    flat = decode(r"regexp_replace(regexp_replace(html, '<(br|/p|/div|/tr|/td|/li|hr)[^>]*>', chr(10), 'gi'), '<[^>]+>', '', 'g')", ["lt", "gt", "amp", "nbsp"])
-    bare = _trim(r"regexp_replace(regexp_replace(html, '<!--[\s\S]*?-->', '', 'g'), '/\*[\s\S]*?\*/', '', 'g')")
+    page = S.extract(_NOISE_RE, _BOUNCE)
     return {
         "body_text": f"{full} SELECT {_OUT}, {_strip('new_text')} AS extracted_text FROM new_",
         "body_new_text": f"{full} SELECT {_OUT}, new_text FROM new_",
@@ -234,14 +294,19 @@ def oracle_sql() -> dict[str, str]:
         "body_glued": f"WITH {_TEXTS} SELECT {_OUT}, {_GLUE} AS text FROM texts WHERE text IS NOT NULL",
         "body_bounce": f"WITH {_TEXTS}, {_lines('text')}, top_ AS (SELECT message_id, arg_min(t, i) FILTER (WHERE t <> '' AND NOT regexp_matches(t, '^\\[.*\\]$') AND NOT regexp_matches(t, '^https?://\\S+$', 'i')) AS opening FROM sig GROUP BY message_id) SELECT {_OUT}, {_BOUNCE} AS is_bounce FROM top_",
         "noise_text": f"WITH {_TEXTS} SELECT {_OUT}, {_strip('text')} AS clean FROM texts WHERE text IS NOT NULL",
-        "noise_html": f"WITH {_PAGES} SELECT {_OUT}, {_trim(f'''array_to_string(CASE WHEN {at} > 0 THEN list_slice({blocks}, 1, {at} - 1) ELSE {blocks} END, '')''')} AS clean FROM pages",
-        "html_marker_positions": f"WITH {_PAGES} SELECT {_OUT}, {', '.join(f'{place(p)} AS at_{m}' for m, p in marks.items())} FROM pages",
-        "html_visible": f"WITH {_PAGES} SELECT {_OUT}, {visible} AS visible, {flat} AS flat, {bare} AS bare FROM pages",
-        # The table calls sniffed pages html; sniffing knows text alone.
-        "route_detect": "SELECT attachment_id, CASE WHEN routed_by = 'sniff' AND kind = 'html' THEN 'text' ELSE kind END AS kind, routed_by FROM attachment_routes",
-        "route_declared": r"SELECT attachment_id, nullif(lower(trim(split_part(content_type, ';', 1))), '') AS declared, nullif(lower(regexp_extract(trim(filename), '(\.[A-Za-z0-9]+)$', 1)), '') AS extension FROM attachments",
-        # A table's failure for an early end is another system's; the bytes themselves are text.
-        "attach_status": "SELECT attachment_id, any_value(CASE WHEN reason = 'unexpected end of input' THEN 'extracted' ELSE status END) AS status, any_value(CASE WHEN status = 'skipped' THEN reason END) AS reason FROM attachment_results GROUP BY attachment_id",
+        "body_extract": f"{full}, {_PAGES}, {page} SELECT x.message_id.m AS message_id, x.message_id.t AS delivered, {_strip('w.new_text')} AS extracted_text, p.extracted_html FROM texts x LEFT JOIN new_ w USING (message_id) LEFT JOIN whole_ p USING (message_id)",
+        "noise_html": f"WITH {_PAGES} SELECT {_OUT}, {S.strip_noise('html', _NOISE_RE)} AS clean FROM pages",
+        "html_extract": f"WITH {_PAGES}, {page} SELECT {_OUT}, extracted_html FROM whole_",
+        "html_marker_positions": f"WITH {_PAGES}, {S.PLACED} SELECT {_OUT}, {', '.join(f'at_{m}' for m in S.MARKS)} FROM placed",
+        "html_visible": f"WITH {_PAGES} SELECT {_OUT}, {S.visible('html')} AS visible, {S.flat('html')} AS flat, {S.bare('html')} AS bare FROM pages",
+        "route_detect": "SELECT attachment_id, kind, routed_by FROM attachment_routes WHERE NOT coalesce(routed_by = 'sniff' AND kind = 'html', false)",
+        "route_exceptions": "SELECT count(*) AS n_sniffed_pages FROM attachment_routes WHERE routed_by = 'sniff' AND kind = 'html'",
+        "route_declared": r"SELECT attachment_id, nullif(lower(trim(split_part(content_type, ';', 1))), '') AS declared, nullif(trim(list_last(regexp_extract_all(content_type, '(?i);\s*charset\s*=\s*\x22?([^\x22;]+)', 1))), '') AS charset, nullif(lower(regexp_extract(trim(filename), '(\.[A-Za-z0-9]+)$', 1)), '') AS extension FROM attachments",
+        "attach_status": f"WITH {_TOLD} SELECT attachment_id, status, reason FROM told WHERE reason IS DISTINCT FROM 'unexpected end of input'",
+        "attach_exceptions": f"WITH {_TOLD} SELECT count(*) AS n_broken_off FROM told WHERE reason = 'unexpected end of input'",
+        "attach_text": r"SELECT attachment_id, regexp_replace(t, '\r\n?', chr(10), 'g') AS extraction FROM (SELECT attachment_id, try(decode(content)) AS t FROM attachments JOIN attachment_routes USING (attachment_id) WHERE kind = 'text' OR kind = 'html' AND routed_by = 'sniff') WHERE t <> '' AND NOT starts_with(t, chr(65279)) AND NOT contains(t, chr(0))".replace("t <> ''", f"{_trim('t')} <> ''"),
+        "attach_html": f"SELECT attachment_id, {_SEEN} AS solid_text FROM (SELECT attachment_id, try(decode(content)) AS t FROM attachments JOIN attachment_routes USING (attachment_id) WHERE kind = 'html' AND routed_by <> 'sniff') WHERE t <> ''",
+        "attach_documents": f"WITH {_TOLD} SELECT attachment_id, regexp_replace(regexp_replace(extraction, '{_CUT_MARK}', ''), '{_WS}+', '', 'g') AS solid_text FROM told JOIN attachment_routes USING (attachment_id) WHERE kind IN ('docx', 'pdf') AND status = 'extracted' AND NOT coalesce(regexp_matches(extraction, '{GARBLED.replace(chr(92) * 2, chr(92))}'), false)",
         "attach_xlsx": "SELECT r.attachment_id, any_value(r.extraction) AS extraction FROM attachment_results r JOIN attachment_routes k ON k.attachment_id = r.attachment_id WHERE k.kind = 'xlsx' GROUP BY r.attachment_id",
         "mail_by_mailbox": f"{full} SELECT x.mailbox_id, count(*) AS n_messages, CAST(coalesce(sum(length(x.text)), 0) AS BIGINT) AS n_chars, CAST(coalesce(sum(length({_strip('w.new_text')})), 0) AS BIGINT) AS n_new_chars FROM texts x LEFT JOIN new_ w USING (message_id) GROUP BY x.mailbox_id",
-    }
+    } | cases.SQL
