@@ -3,8 +3,11 @@
 Words are canonicalised to templates: numbers, units and names become typed
 placeholders, the other words of the evaluation items stay themselves.  Windows
 of ``WINDOW`` canonical words are joined by hash with those of the items; in each
-hit the slot values are compared.  Equal values anchor a verbatim leak; unequal
-ones, if the same replacement holds all over, tell a re-parameterised item.
+hit the slot values are compared.  Equal values anchor a verbatim leak, as do windows
+without slots that one passage alone has, where it has a run's length of words without
+any.  Windows in a row
+whose values differ tell a re-parameterised item, if the item's values and the page's
+map one to one all over the run.
 Where too much is misread for a whole window, a slot value but for one letter anchors
 with any two of the ``REACH`` words on each side of it read without error.
 Anchors of a page and an item are then extended word by word in the order of the
@@ -29,6 +32,7 @@ from pyspark.sql import functions as F
 from ._batch import load, map_batches
 
 WINDOW, RUN, MAX_ITEM_WORDS = 7, 20, 2_000_000
+LEAST_VALUES = 4
 #: Words on each side of a slot, of which any two anchor it, and the bits of a table that tells most other pairs apart.
 REACH, BITS = 3, 22
 _SIDES = np.array([d for d in range(-REACH, REACH + 1) if d])
@@ -179,6 +183,14 @@ def window_hash(canon: np.ndarray) -> np.ndarray:
     return h
 
 
+def plain_stretch(value: np.ndarray) -> np.ndarray:
+    """Of each window, whether it lies in RUN words or more without a slot: no window with a slot stands for those."""
+    slot = np.concatenate([[-1], np.flatnonzero(value > 0), [len(value)]])
+    at = np.arange(len(value) - WINDOW + 1)
+    k = np.searchsorted(slot, at, "right")
+    return (slot[k] - slot[k - 1] > RUN) & (at + WINDOW <= slot[k])
+
+
 def build(items: list[tuple[int, str]]) -> Index:
     raw = [[w for w in p.split() if normal(w)] for _, p in items]
     norm = [[normal(w) for w in r] for r in raw]
@@ -207,10 +219,19 @@ def build(items: list[tuple[int, str]]) -> Index:
                 canon[i] = vocab.setdefault(x, FIRST + len(vocab))
         slots.append((value > 0).tolist())
         coded.append((canon, value))
-        h = window_hash(canon)
+    # A window without slots that several passages share is of their template, and tells none of them.
+    text_of: dict[tuple[str, ...], int] = {}
+    same = [text_of.setdefault(tuple(n), k) for k, n in enumerate(norm)]
+    hashes = [window_hash(canon) for canon, _ in coded]
+    every = np.concatenate([np.zeros(0, np.uint64), *hashes])
+    owner = np.repeat(np.array(same, np.int64), [len(h) for h in hashes])
+    by = np.lexsort((owner, every))
+    every, owner = every[by], owner[by]
+    common = np.unique(every[1:][(every[1:] == every[:-1]) & (owner[1:] != owner[:-1])])
+    for k, (h, (_, value)) in enumerate(zip(hashes, coded)):
         if len(h):
             v = np.lib.stride_tricks.sliding_window_view(value, WINDOW)
-            some = np.flatnonzero(((v > 0).sum(1) > 0) & ((v == 0).sum(1) > 2))
+            some = np.flatnonzero(((v > 0).sum(1) > 0) & ((v == 0).sum(1) > 2) | plain_stretch(value) & ~np.isin(h, common))
             keys.append(h[some])
             item.append(np.full(len(some), k))
             at.append(some)
@@ -277,7 +298,35 @@ def join_windows(canon: np.ndarray, value: np.ndarray, ix: Index) -> tuple[np.nd
     slot = want > 0
     same = ((want == have) & slot).sum(1)
     wrong = ((want != have) & slot & (have > 0)).sum(1)  # another item's name; a spelling unknown to all may be misread
-    return page, row, ((same > 0) & (wrong == 0)).astype(np.int64)
+    return page, row, (((same > 0) | ~slot.any(1)) & (wrong == 0)).astype(np.int64)
+
+
+def reparameterised(norm: list[str], page: np.ndarray, row: np.ndarray, ix: Index) -> dict[int, int]:
+    """By item, the longest run of template windows whose slots hold other values, mapped one to one.
+
+    Windows in line (of one item, at one distance between page and item, overlapping) make a run.
+    A run tells a re-parameterised item if it has RUN words and LEAST_VALUES different values of the
+    item, as single sentences of one template are common, none of them kept, each always replaced
+    alike and no two by the same word.
+    """
+    out: dict[int, int] = {}
+    if not len(page):
+        return out
+    item, at = ix.item[row], ix.at[row]
+    order = np.lexsort((page, page - at, item))
+    item, at, page = item[order], at[order], page[order]
+    new = np.concatenate([[True], (item[1:] != item[:-1]) | (np.diff(page - at) != 0) | (np.diff(page) > WINDOW)])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(new)) - 1
+    size = page[last] - page[first] + WINDOW
+    for f, n in zip(first[size >= RUN].tolist(), size[size >= RUN].tolist()):
+        k, i, j = int(item[f]), int(page[f]), int(at[f])
+        put: dict[str, str] = {}
+        slots = [d for d in range(n) if ix.slots[k][j + d]]
+        fits = all(put.setdefault(ix.words[k][j + d], norm[i + d]) == norm[i + d] for d in slots)
+        if fits and len(put) >= LEAST_VALUES and len(set(put.values())) == len(put) and not any(alike(a, b) for a, b in put.items()):
+            out[k] = max(out.get(k, 0), n)
+    return out
 
 
 def join_slots(norm: list[str], canon: np.ndarray, value: np.ndarray, ix: Index) -> dict[int, list[tuple[int, int]]]:
@@ -350,8 +399,8 @@ def longest(seen: bytearray, slot: list[bool]) -> int:
     return best
 
 
-def leaks(text: str, x0: list[int] | None, ix: Index) -> list[tuple[int, int, int, int]]:
-    """(item id, longest verbatim run, template windows hit, windows hit with equal slots) of the page."""
+def leaks(text: str, x0: list[int] | None, ix: Index) -> list[tuple[int, str, int, int, int]]:
+    """(item id, verbatim or reparameterised, longest run, template windows hit, windows hit with equal slots) of the page."""
     words = [w for w in stream(text, x0)]
     norm = [normal(w) for w in words]
     if "" in norm:
@@ -388,12 +437,16 @@ def leaks(text: str, x0: list[int] | None, ix: Index) -> list[tuple[int, int, in
                 seen = bytearray(map(max, seen, part))
         run = longest(seen, slot)
         if run >= WINDOW or n_equal[k]:
-            out.append((int(ix.ids[k]), run, int(n_hit[k]), int(n_equal[k])))
+            out.append((int(ix.ids[k]), "verbatim", run, int(n_hit[k]), int(n_equal[k])))
+    whole = {i for i, _, run, _, _ in out if run >= RUN}
+    for k, run in reparameterised(norm, page, row, ix).items():
+        if int(ix.ids[k]) not in whole:
+            out.append((int(ix.ids[k]), "reparameterised", run, int(n_hit[k]), int(n_equal[k])))
     return out
 
 
 def leaked(pages: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, passage: str, boxes: str | None = None, least: int = 1) -> DataFrame:
-    """doc_id, item_id, run, n_template, n_equal for each page and item that share a window with equal slots and a run of ``least`` words.
+    """doc_id, item_id, kind, run, n_template, n_equal for each page and item that share a run of ``least`` words, verbatim or but for its slots.
 
     Null and empty texts and passages give no row, repeated rows repeated rows;
     other columns are ignored.  boxes: array of structs with x0, one a line.
@@ -410,15 +463,15 @@ def leaked(pages: DataFrame, items: DataFrame, doc_id: str, text: str, item_id:
 
         def run(batch: pa.RecordBatch, sent=sent) -> dict[str, list]:
             ix = sent.value
-            res: dict[str, list] = {c: [] for c in ("doc_id", "item_id", "run", "n_template", "n_equal")}
+            res: dict[str, list] = {c: [] for c in ("doc_id", "item_id", "kind", "run", "n_template", "n_equal")}
             for i, t, x0 in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                for item, n, hit, equal in leaks(t, x0, ix):
+                for item, kind, n, hit, equal in leaks(t, x0, ix):
                     if n >= least:
-                        for c, v in zip(res, (i, item, n, hit, equal)):
+                        for c, v in zip(res, (i, item, kind, n, hit, equal)):
                             res[c].append(v)
             return res
 
-        one = map_batches(src, run, "doc_id bigint, item_id bigint, run int, n_template int, n_equal int")
+        one = map_batches(src, run, "doc_id bigint, item_id bigint, kind string, run int, n_template int, n_equal int")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -428,9 +481,11 @@ def _of(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _of(spark, sf_dir, RUN).select("doc_id", "item_id").distinct()
+    return _of(spark, sf_dir, RUN).where("kind = 'verbatim'").select("doc_id", "item_id").distinct()
 
 
 def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each leaked item: pages and the longest run."""
-    return _of(spark, sf_dir, RUN).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_pages"), F.max("run").alias("longest_run"))
+    """Of each leaked item: pages that hold it verbatim, the longest run, and pages that hold it with other names and numbers."""
+    own = F.col("kind") == "verbatim"
+    runs = _of(spark, sf_dir, RUN).groupBy("item_id")
+    return runs.agg(F.countDistinct(F.when(own, F.col("doc_id"))).alias("n_pages"), F.max(F.when(own, F.col("run"))).alias("longest_run"), F.countDistinct(F.when(~own, F.col("doc_id"))).alias("n_reparameterised"))
