@@ -1,17 +1,21 @@
 """Per-document text quality statistics (problem 10).
 
-A document is cut into chunks of ``CHUNK`` characters.  Each chunk gives counts
-of its complete lines and, as its boundary state, the pieces of lines at its two
-ends.  ``merge`` joins two neighbours: the left one's tail and the right one's
-head are one line, counted only then.  It is associative, so chunks of a huge
-document are merged as a tree; a document of one chunk needs no exchange.
-Ratios and rule outcomes come from the merged counts.  A page printed in mirror
-writing has fewer common words than common words read backwards.
+Every document is cut into chunks of ``CHUNK`` characters or less, at white space.  A chunk
+gives the counts of its complete lines and, as its boundary state, the statistics of the
+pieces of lines at its two ends: fixed numbers of fixed size, however long the line.
+``merge`` joins two neighbours: the left one's tail and the right one's head are one line,
+judged only then.  It is associative, so the chunks of a document are merged as a tree, in
+arrays over all documents of a batch.  Texts of more than ``SPREAD`` characters are cut in
+one pass, their parts spread over all tasks, and merged as a tree across tasks.  Ratios and
+rule outcomes come from the merged counts.  A page printed in mirror writing has fewer
+common words than common words read backwards.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -22,8 +26,7 @@ from pyspark.sql import functions as F
 from ._batch import load, map_batches
 from .unify import code_points
 
-CHUNK = 1 << 16
-FAN = 32
+CHUNK, SPREAD, FAN = 1 << 11, 1 << 20, 64
 #: Most frequent words of the languages in the data.
 COMMON = frozenset(
     "the of and to in a is that it was for on with as by at be this which had not but from his are he were have an or their has been who will they its one all we said no at last when so"
@@ -33,6 +36,9 @@ COMMON = frozenset(
     " i w z na do nie się że jest to o po jak ale od za и в не на что с по как к но из у за от это".split()
 )
 COUNTS = ("n_lines", "n_words", "word_chars", "n_chars", "n_symbols", "n_punct_lines", "n_common", "n_list", "n_table", "n_junk", "n_mirrored")
+#: What is known of a piece of a line.  Sums over its words, then three facts of its first and last word, then the white space at its ends.
+PIECE = ("tokens", "chars", "numbers", "legible", "read", "dots", "commas", "bars", "open", "caps", "hurt", "long", "words", "letters", "symbols", "common", "mirrored", "item", "cut", "closing", "lead", "trail")
+SUMS, ITEM, CUT, CLOSING, LEAD, TRAIL = 17, 17, 18, 19, 20, 21
 TOP = 0x3000
 SMALL = frozenset("a an the of and to in at for from by with or on le la les de des du et en von zu und der die das den im am bei aus del y".split())
 #: Characters that stand inside or beside words only where a page was misread.
@@ -59,21 +65,41 @@ def _within(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, keys), len(table) - 1)] == keys
 
 
-def count_texts(texts: list[str]) -> np.ndarray:
-    """The counts of whole texts, one row each; all texts of a batch at once."""
-    out = np.zeros((len(texts), len(COUNTS)), np.int64)
-    if not texts:
-        return out
+class Parts(NamedTuple):
+    """Partial results, one a chunk: counts of complete lines, the pieces at both ends, and whether a line ends within (if not, ``tail`` says nothing)."""
+
+    counts: np.ndarray
+    head: np.ndarray
+    tail: np.ndarray
+    broken: np.ndarray
+
+    def take(self, at: np.ndarray) -> Parts:
+        return Parts(*(x[at] for x in self))
+
+
+def cuts(text: str, size: int) -> Iterator[str]:
+    """The text in parts of ``size`` characters or less, cut behind white space; a longer word is cut where the size ends, and counts once a part."""
+    at, n = 0, len(text)
+    while n - at > size:
+        end = at + size
+        gap = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
+        end = gap + 1 if gap >= at else end
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def pieces(chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(statistics of every piece that has a word, its chunk, its line within all chunks); and lines begin anew with each chunk."""
     t = tables()
-    cp, starts = code_points(texts)
-    out[:, 3] = np.diff(starts) - 1
+    cp, starts = code_points(chunks)
     c = np.where(cp < TOP, cp, 0x2E80)
     solid = ~t["space"][c]
+    line_of = np.cumsum(t["newline"][c])
     if not solid.any():
-        return out
+        return np.zeros((0, len(PIECE)), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     first = solid.copy()
     first[1:] &= ~solid[:-1]
-    line_of = np.cumsum(t["newline"][c])
     at = np.flatnonzero(first)
     s = c[solid]
     offs = np.flatnonzero(first[solid])
@@ -99,112 +125,194 @@ def count_texts(texts: list[str]) -> np.ndarray:
     word = nl > 0
     upper = t["upper"][head] | t["zero"][head]
     open_ = word & ~_within(keys, t["small"])
-    # Tokens to lines.
+    mark = ((n <= 4) & t["point"][last] & ((nl == 0) & (nd > 0) | (nl == 1) & (nd == 0))) | ((n == 1) & t["bullet"][head])
+    closing = t["end"][last] | t["close"][last] & (n > 1) & t["end"][s[np.maximum(offs + n - 2, 0)]]
+    # Words to pieces of lines.
     ln = line_of[at]
     new = np.concatenate([[True], ln[1:] != ln[:-1]])
     lo = np.flatnonzero(new)
-    per = lambda x: np.add.reduceat(x.astype(np.int64), lo)
-    ntok = np.diff(np.append(lo, len(ln)))
-    end = lo + ntok - 1
-    chars, nnum, n_leg = per(n), per(number), per(legible)
-    read = per(n * legible) + per(n * number)
-    n_dots = per(n * dots)
-    commas = per(add(t["comma"][s]))
+    hi = np.append(lo[1:], len(ln)) - 1
     gap = np.zeros(len(at), np.int64)
     gap[1:] = (at[1:] - (at[:-1] + n[:-1]) > 1) & ~new[1:]
-    bars = per(add(t["bar"][s])) + per(gap) + n_dots
-    n_open, n_caps = per(open_), per(open_ & upper)
-    hurt, long_ = per(marred & (n > 1)), per((n > 1) & ~number & ~dots)
-    item = (ntok > 1) & (ntok <= 14) & (((n[lo] <= 4) & t["point"][last[lo]] & ((nl[lo] == 0) & (nd[lo] > 0) | (nl[lo] == 1) & (nd[lo] == 0))) | ((n[lo] == 1) & t["bullet"][head[lo]]))
-    value_row = (nnum >= 2) & ((nnum > n_leg) | (bars > 0) & (nnum >= n_leg))
-    unread = (read * 2 < chars - np.where(nnum > 0, n_dots, 0)) & ~((nnum >= 3) & (nnum * 2 >= ntok))
-    junk = unread | (hurt * 10 >= long_ * 3) & (long_ >= 3) & ~value_row
-    table = ~junk & (value_row | (read * 2 < chars - n_dots))
-    entry = (commas > 0) & (ntok >= 2) & (ntok <= 10) & (n_open > 0) & (n_caps * 10 >= n_open * 8) & (n_open - 1 <= 2 * commas + 2) & ~t["cut"][last[end]]
-    listed = ~junk & ~table & (item | entry)
-    closing = t["end"][last[end]] | t["close"][last[end]] & (n[end] > 1) & t["end"][s[np.maximum(offs[end] + n[end] - 2, 0)]]
-    doc = np.searchsorted(starts, at[lo], "right") - 1
-    symbols, common = per(add(t["symbol"][s])), per(word & _within(keys, t["common"]))
-    for k, x in ((0, np.ones(len(lo), np.int64)), (1, per(word)), (2, per(nl * word)), (4, symbols), (5, closing), (6, common), (7, listed), (8, table), (9, junk), (10, per(word & _within(keys, t["mirrored"])))):
-        out[:, k] = np.bincount(doc, x, len(texts)).astype(np.int64)
+    n_dots = n * dots
+    sums = (np.ones(len(at), np.int64), n, number, legible, n * legible + n * number, n_dots, add(t["comma"][s]), add(t["bar"][s]) + gap + n_dots, open_, open_ & upper, marred & (n > 1), (n > 1) & ~number & ~dots,
+            word, nl * word, add(t["symbol"][s]), word & _within(keys, t["common"]), word & _within(keys, t["mirrored"]))
+    out = np.empty((len(lo), len(PIECE)), np.int64)
+    for k, x in enumerate(sums):
+        out[:, k] = np.add.reduceat(x.astype(np.int64), lo)
+    out[:, ITEM], out[:, CUT], out[:, CLOSING] = mark[lo], t["cut"][last[hi]], closing[hi]
+    ends = np.flatnonzero(t["newline"][c])
+    at_line = ln[lo]
+    out[:, LEAD] = at[lo] - np.where(at_line > 0, ends[at_line - 1] + 1, 0)
+    out[:, TRAIL] = ends[at_line] - (at[hi] + n[hi])
+    return out, np.searchsorted(starts, at[lo], "right") - 1, at_line
+
+
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pieces of lines with the pieces right behind them."""
+    out = a + b
+    x, y = a[:, 0] > 0, b[:, 0] > 0
+    out[:, 7] += x & y & (a[:, TRAIL] + b[:, LEAD] > 1)
+    out[:, ITEM] = np.where(x, a[:, ITEM], b[:, ITEM])
+    for k in (CUT, CLOSING):
+        out[:, k] = np.where(y, b[:, k], a[:, k])
+    out[:, LEAD] = np.where(x, a[:, LEAD], out[:, LEAD])
+    out[:, TRAIL] = np.where(y, b[:, TRAIL], out[:, TRAIL])
     return out
 
 
-def partial(text: str) -> tuple[list[int], str, str | None]:
-    """Counts of the chunk's inner lines, its head and tail pieces; tail None: no line end within."""
-    lines = text.split("\n")
-    if len(lines) == 1:
-        return [0] * len(COUNTS), text, None
-    return count_texts(["\n".join(lines[1:-1])])[0].tolist(), lines[0], lines[-1]
-
-
-def merge(a: tuple, b: tuple) -> tuple:
-    counts = [x + y for x, y in zip(a[0], b[0])]
-    if a[2] is None:
-        return counts, a[1] + b[1], b[2]
-    if b[2] is None:
-        return counts, a[1], a[2] + b[1]
-    line = count_texts([a[2] + b[1]])[0].tolist()
-    return [x + y for x, y in zip(counts, line)], a[1], b[2]
+def judge(line: np.ndarray) -> np.ndarray:
+    """The counts that whole lines give, one row each; a line without words gives zeros."""
+    tokens, chars, numbers, legible, read, dots, commas, bars, open_, caps, hurt, long_, words, letters, symbols, common, mirrored = line[:, :SUMS].T
+    some = tokens > 0
+    value_row = (numbers >= 2) & ((numbers > legible) | (bars > 0) & (numbers >= legible))
+    unread = (read * 2 < chars - np.where(numbers > 0, dots, 0)) & ~((numbers >= 3) & (numbers * 2 >= tokens))
+    junk = some & (unread | (hurt * 10 >= long_ * 3) & (long_ >= 3) & ~value_row)
+    table = some & ~junk & (value_row | (read * 2 < chars - dots))
+    item = (tokens > 1) & (tokens <= 14) & (line[:, ITEM] > 0)
+    entry = (commas > 0) & (tokens >= 2) & (tokens <= 10) & (open_ > 0) & (caps * 10 >= open_ * 8) & (open_ - 1 <= 2 * commas + 2) & (line[:, CUT] == 0)
+    listed = some & ~junk & ~table & (item | entry)
+    return np.stack([some, words, letters, np.zeros(len(line), np.int64), symbols, some * line[:, CLOSING], common, listed, table, junk, mirrored], 1).astype(np.int64)
+
+
+def partials(chunks: list[str]) -> Parts:
+    """The partial result of each chunk, all chunks of a batch at once."""
+    n = len(chunks)
+    stat, chunk, line = pieces(chunks)
+    counts = np.zeros((n, len(COUNTS)), np.int64)
+    ends = np.fromiter((x.count("\n") + x.count("\0") for x in chunks), np.int64, n)
+    # The line numbers at which a chunk begins and ends: the end of a chunk counts as one.
+    begin = np.concatenate([[0], np.cumsum(ends + 1)])[:n]
+    head, tail = np.zeros((n, len(PIECE)), np.int64), np.zeros((n, len(PIECE)), np.int64)
+    # Ends without a word have nothing but their white space.
+    for k, x in enumerate(chunks):
+        a, b = x[: x.find("\n") if ends[k] else len(x)], x[x.rfind("\n") + 1 :]
+        if "\0" in x:
+            a, b = x.replace("\0", "\n").split("\n", 1)[0], x.replace("\0", "\n").rsplit("\n", 1)[-1]
+        if not a or a.isspace():
+            head[k, [LEAD, TRAIL]] = len(a)
+        if ends[k] and (not b or b.isspace()):
+            tail[k, [LEAD, TRAIL]] = len(b)
+    at_head = line == begin[chunk]
+    at_tail = (line == begin[chunk] + ends[chunk]) & ~at_head
+    head[chunk[at_head]], tail[chunk[at_tail]] = stat[at_head], stat[at_tail]
+    inner = ~at_head & ~at_tail
+    got = judge(stat[inner])
+    for k in range(len(COUNTS)):
+        counts[:, k] = np.bincount(chunk[inner], got[:, k], n).astype(np.int64)
+    counts[:, 3] = np.fromiter(map(len, chunks), np.int64, n)
+    return Parts(counts, head, tail, ends > 0)
+
+
+def merge(a: Parts, b: Parts) -> Parts:
+    """Parts with their right-hand neighbours."""
+    seam = join(np.where(a.broken[:, None], a.tail, a.head), b.head)
+    both = (a.broken & b.broken)[:, None]
+    counts = a.counts + b.counts + np.where(both, judge(seam), 0)
+    return Parts(counts, np.where(a.broken[:, None], a.head, seam), np.where(b.broken[:, None], b.tail, seam), a.broken | b.broken)
+
+
+def tree(parts: Parts, group: np.ndarray) -> Parts:
+    """Merges the parts of each group, given in order, by twos, then by fours, and so on."""
+    while len(group) > 1 and (group[1:] == group[:-1]).any():
+        place = np.arange(len(group)) - np.searchsorted(group, group)
+        left = np.flatnonzero(place % 2 == 0)
+        paired = np.append(group[1:], -1)[left] == group[left]
+        merged = merge(parts.take(left[paired]), parts.take(left[paired] + 1))
+        kept = parts.take(left)
+        for x, y in zip(kept, merged):
+            x[paired] = y
+        parts, group = kept, group[left]
+    return parts
+
+
+def of_texts(texts: list[str], size: int = CHUNK) -> Parts:
+    """The partial result of each text, from its chunks."""
+    chunks, owner = [], []
+    for k, x in enumerate(texts):
+        own = list(cuts(x, size))
+        chunks += own
+        owner += [k] * len(own)
+    return tree(partials(chunks), np.array(owner, np.int64))
+
+
+def finish(parts: Parts) -> np.ndarray:
+    """Counts of whole texts."""
+    return parts.counts + judge(parts.head) + np.where(parts.broken[:, None], judge(parts.tail), 0)
+
+
+def count_texts(texts: list[str], size: int = CHUNK) -> np.ndarray:
+    """The counts of whole texts, one row each; all texts of a batch at once."""
+    return finish(of_texts(texts, size)) if texts else np.zeros((0, len(COUNTS)), np.int64)
 
 
-def finish(p: tuple) -> list[int]:
-    ends = count_texts([x for x in p[1:] if x is not None]).sum(0)
-    return [x + y for x, y in zip(p[0], ends.tolist())]
+#: A part of a text on its way between tasks: text's row, place among its parts, partial result.
+_PART = "row bigint, doc_id bigint, idx bigint, counts array<bigint>, head array<bigint>, tail array<bigint>, broken boolean"
+_LIST = pa.list_(pa.int64())
+_PART_ARROW = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("idx", pa.int64()), ("counts", _LIST), ("head", _LIST), ("tail", _LIST), ("broken", pa.bool_())])
 
 
-_PART = "doc_id bigint, idx bigint, counts array<bigint>, head string, tail string"
+def _rows(batch, parts: Parts) -> pa.RecordBatch:
+    cols = [*(batch.column(k) for k in range(3)), *(pa.array(list(x), _LIST) for x in parts[:3]), pa.array(parts.broken)]
+    return pa.RecordBatch.from_arrays(cols, schema=_PART_ARROW)
 
 
-def _partials(df: DataFrame) -> DataFrame:
+def _cut(size: int):
     def run(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("idx", pa.int64()), ("counts", pa.list_(pa.int64())), ("head", pa.string()), ("tail", pa.string())])
+        schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("idx", pa.int64()), ("text", pa.string())])
         for b in batches:
-            parts = [partial(t) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([p[k] for p in parts], schema.field(k + 2).type) for k in range(3))], schema=schema)
+            for k in range(b.num_rows):
+                # One text at a time, and of it one part at a time.
+                row, doc, text = (b.column(c)[k].as_py() for c in range(3))
+                for idx, x in enumerate(cuts(text, size)):
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((row, doc, idx, x), schema.types)], schema=schema)
+
+    return run
+
 
-    return df.mapInArrow(run, _PART)
+def _partial_rows(batches):
+    for b in batches:
+        for k in range(b.num_rows):
+            one = b.slice(k, 1)
+            yield _rows(one, of_texts([one.column(3)[0].as_py()]))
 
 
 def _merge_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("idx")
-    acc = None
-    for counts, head, tail in zip(pdf["counts"], pdf["head"], pdf["tail"]):
-        p = (list(counts), head, tail if isinstance(tail, str) else None)
-        acc = p if acc is None else merge(acc, p)
-    return pd.DataFrame({"doc_id": [key[0]], "idx": [int(key[1])], "counts": [acc[0]], "head": [acc[1]], "tail": [acc[2]]})
+    parts = Parts(*(np.stack(pdf[c].to_list()) for c in ("counts", "head", "tail")), pdf["broken"].to_numpy(bool))
+    one = tree(parts, np.zeros(len(pdf), np.int64))
+    return pd.DataFrame({"row": [key[0]], "doc_id": pdf["doc_id"].iloc[:1].tolist(), "idx": [key[1]], "counts": [one.counts[0]], "head": [one.head[0]], "tail": [one.tail[0]], "broken": [bool(one.broken[0])]})
 
 
-def quality_counts(df: DataFrame, doc_id: str, text: str, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
-    """doc_id and the columns of COUNTS, one row per input row id.
+def quality_counts(df: DataFrame, doc_id: str, text: str, chunk: int = CHUNK, spread: int = SPREAD, fan: int = FAN) -> DataFrame:
+    """doc_id and the columns of COUNTS, one row per input row, also where ids are null or repeated.
 
-    Null and empty texts give zeros.  Rows that repeat an id must repeat its text;
-    they give repeated rows.  Other columns are ignored.
+    Null and empty texts give zeros.  A word longer than a chunk counts once a chunk.  Other
+    columns are ignored.
     """
     src = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     names = ", ".join(f"{c} bigint" for c in COUNTS)
 
     def whole(batch: pa.RecordBatch) -> dict[str, list]:
-        rows = count_texts(batch.column(1).to_pylist())
+        rows = count_texts(batch.column(1).to_pylist(), chunk)
         return {"doc_id": batch.column(0).to_pylist()} | {c: rows[:, k] for k, c in enumerate(COUNTS)}
 
-    small = map_batches(src.where(F.length("text") <= chunk), whole, f"doc_id bigint, {names}")
-    # Texts of more than one chunk: their chunks are spread over all tasks and merged as a tree.
-    large = src.where(F.length("text") > chunk).dropDuplicates(["doc_id"]).withColumn("n", F.ceil(F.length("text") / F.lit(chunk)).cast("bigint"))
-    pieces = large.select("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("idx"), "text")
-    pieces = pieces.select("doc_id", "idx", F.col("text").substr((F.col("idx") * chunk + 1).cast("int"), F.lit(chunk)).alias("text")).repartition("doc_id", "idx")
-    tree = _partials(pieces)
-    level = chunk
-    while level < 1 << 31:
-        level *= fan
-        # A group's parts are merged in the order of idx; its own number is the next level's.
-        tree = tree.groupBy("doc_id", F.floor(F.col("idx") / fan).cast("bigint").alias("group")).applyInPandas(_merge_group, _PART)
+    small = map_batches(src.where(F.length("text") <= spread), whole, f"doc_id bigint, {names}")
+    # The row number tells texts apart whose ids are null or repeated; it is the same if a task runs again.
+    large = src.withColumn("row", F.monotonically_increasing_id()).where(F.length("text") > spread).select("row", "doc_id", "text")
+    parts = large.mapInArrow(_cut(spread), "row bigint, doc_id bigint, idx bigint, text string").repartition("row", "idx").mapInArrow(_partial_rows, _PART)
+    reach = 1
+    while reach * spread < 1 << 31:
+        reach *= fan
+        parts = parts.groupBy("row", F.floor(F.col("idx") / fan).cast("bigint").alias("group")).applyInPandas(_merge_group, _PART)
 
     def end(batch: pa.RecordBatch) -> dict[str, list]:
-        rows = [finish(p) for p in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)))]
-        return {"doc_id": batch.column(0).to_pylist()} | {c: [r[k] for r in rows] for k, c in enumerate(COUNTS)}
+        n = batch.num_rows
+        array = lambda k, width: np.array(batch.column(k).to_pylist(), np.int64).reshape(n, width)
+        rows = finish(Parts(array(3, len(COUNTS)), array(4, len(PIECE)), array(5, len(PIECE)), np.array(batch.column(6).to_pylist(), bool)))
+        return {"doc_id": batch.column(1).to_pylist()} | {c: rows[:, k] for k, c in enumerate(COUNTS)}
 
-    return small.unionByName(map_batches(tree, end, f"doc_id bigint, {names}"))
+    return small.unionByName(map_batches(parts, end, f"doc_id bigint, {names}"))
 
 
 def ratios(counts: DataFrame) -> DataFrame:
@@ -228,3 +336,21 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ratios(quality_counts(load(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+def p10_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics that SQL can express: all but the kind."""
+    return p10_statistics(spark, sf_dir).drop("kind")
+
+
+def ratios_sql() -> str:
+    """``p10_ratios`` over the table documents, by lists of words."""
+    space = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}]"
+    common = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(COMMON))
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '{space}+'), lambda x: regexp_matches(x, '\p{{L}}')) AS words, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '{space}+$', '')), lambda x: x <> '') AS lines FROM d),
+c AS (SELECT doc_id, len(words) AS n_words, len(lines) AS n_lines, length(text) AS n_chars, length(regexp_replace(text, '\P{{L}}', '', 'g')) AS word_chars, length(regexp_replace(regexp_replace(text, '[\p{{L}}\p{{N}}]', '', 'g'), '{space}', '', 'g')) AS n_symbols,
+  len(list_filter(lines, lambda x: regexp_matches(x, '[.!?…:;]["'')\]”’»]?$'))) AS n_punct, len(list_filter(words, lambda x: lower(regexp_replace(x, '\P{{L}}', '', 'g')) IN ({common}))) AS n_common FROM w)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CASE WHEN n_words > 0 THEN CAST(word_chars AS DOUBLE) / n_words END AS mean_word_length, CASE WHEN n_chars > 0 THEN CAST(n_symbols AS DOUBLE) / n_chars END AS symbol_ratio,
+  CASE WHEN n_lines > 0 THEN CAST(n_punct AS DOUBLE) / n_lines END AS punct_line_share, CASE WHEN n_words > 0 THEN CAST(n_common AS DOUBLE) / n_words END AS common_word_share FROM c"""

@@ -18,9 +18,10 @@ QUERIES = {
     "language": ["p6_found", "p6_segments"],
     "leakage": ["p8_found", "p8_items"],
     "mixing": ["p9_mixture", "p9_shares"],
-    "quality": ["p10_found", "p10_statistics"],
+    "quality": ["p10_found", "p10_statistics", "p10_ratios"],
 }
-SQL: dict[str, str] = {}
+#: Module and function that give a query's SQL.
+SQL = {"p10_ratios": ("quality", "ratios_sql")}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -29,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return {q: getattr(importlib.import_module(f"{__package__}.{m}"), f)() for q, (m, f) in SQL.items()}
