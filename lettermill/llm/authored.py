@@ -209,7 +209,10 @@ def classify(value: str, markup: bool = False) -> tuple[list[str], list[int], li
 
 
 def units(lines: list[str], classes: list[int], contained: list[bool]) -> tuple[tuple[int, int, bool], ...]:
-    """Runs of one class as (class, lines up to 4, quoted for sure); blank lines part no run."""
+    """Runs of one class as (class, lines, quoted for sure); blank lines part no run.
+
+    Lengths grow by steps (1, 2, 3, 4, 6, 8, 12, 16, 24, ... without end), so that bodies of about the same lengths share one decoding.
+    """
     out: list[list] = []
     for t, c, box in zip(lines, classes, contained):
         if c == BLANK:
@@ -217,11 +220,18 @@ def units(lines: list[str], classes: list[int], contained: list[bool]) -> tuple[
         # One quoted line is doubtful if it is short, but for one in a quote's container.
         sure = c == QUOTED and (box or len(t) >= 60)
         if out and out[-1][0] == c:
-            out[-1][1] = min(out[-1][1] + 1, 4)
+            out[-1][1] += 1
             out[-1][2] = out[-1][2] or sure
         else:
             out.append([c, 1, sure])
-    return tuple((a, b, c) for a, b, c in out)
+    return tuple((c, step(n), sure) for c, n, sure in out)
+
+
+@lru_cache(1 << 12)
+def step(n: int) -> int:
+    """The length at which n stands: two steps to each doubling."""
+    half = 1 << max(n.bit_length() - 2, 0)
+    return n // half * half
 
 
 @lru_cache(1 << 15)
