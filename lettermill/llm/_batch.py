@@ -49,10 +49,17 @@ def strings(batch: pa.RecordBatch, name: str) -> list:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder that the cluster names; a folder of our own only where none is set."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+    """Checkpoint in the shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is named, a local session makes a folder of its own; a cluster's executors
+    have no folder in common then, and it is an error.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 

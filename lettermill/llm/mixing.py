@@ -7,7 +7,8 @@ caps on repeats: whole passes over a source, then blocks in a seeded permutation
 the last one in part.  The block instances of all sources are parted among the
 output shards by a multivariate-hypergeometric splitting tree, so that each shard
 is an exact random draw without replacement; a leaf takes the next disjoint
-blocks of each source's permutation and is shuffled within itself.
+blocks of each source's permutation and is shuffled within itself.  Where shards
+outnumber blocks, each leaf is parted further by hash, so that a shard keeps its size.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 
 from ._batch import cut_lineage, load, map_batches
 
-BLOCKS, DOCS_PER_BLOCK, SHARD_TOKENS, SEED = 1 << 13, 32, 8_000_000, 42
+BLOCKS, DOCS_PER_BLOCK, SHARD_TOKENS, SEED = 1 << 13, 32, 1 << 20, 42
+#: Rows that the table of targets may have: one a source.
+MOST_SOURCES = 10_000
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -71,11 +74,11 @@ def split_tree(counts: np.ndarray, shards: int, seed: int) -> np.ndarray:
 
 
 def plan(blocks: pd.DataFrame, targets: pd.DataFrame, shards: int | None = None, seed: int = SEED) -> pd.DataFrame:
-    """source, copy, block, shard, quota (tokens of the block to take; null: all) from source, block, n_tokens and source, target_share, max_repeats."""
+    """source, copy, block, shard, parts (shards from this one on that share its records), quota (tokens of the block to take; null: all) from source, block, n_tokens and source, target_share, max_repeats."""
     targets = targets[(targets["target_share"] > 0) & targets["source"].notna()].sort_values("source").reset_index(drop=True)
     size = blocks.groupby("source")["n_tokens"].sum()
     have = targets["source"].map(size).fillna(0).to_numpy(np.float64)
-    empty = pd.DataFrame({"source": pd.Series(dtype=str), "copy": pd.Series(dtype="int64"), "block": pd.Series(dtype="int64"), "shard": pd.Series(dtype="int64"), "quota": pd.Series(dtype="float64")})
+    empty = pd.DataFrame({"source": pd.Series(dtype=str), "copy": pd.Series(dtype="int64"), "block": pd.Series(dtype="int64"), "shard": pd.Series(dtype="int64"), "parts": pd.Series(dtype="int64"), "quota": pd.Series(dtype="float64")})
     if not len(targets) or not (have > 0).any():
         return empty
     share, cap = targets["target_share"].to_numpy(np.float64), targets["max_repeats"].clip(lower=0).to_numpy(np.float64)
@@ -105,14 +108,18 @@ def plan(blocks: pd.DataFrame, targets: pd.DataFrame, shards: int | None = None,
         return empty
     inst = pd.concat(rows, ignore_index=True)
     shards = shards or max(1, math.ceil(total / SHARD_TOKENS))
-    shards = min(shards, len(inst))
-    counts = split_tree(inst.groupby("k").size().reindex(range(len(targets)), fill_value=0).to_numpy(), shards, seed)
+    leaves = min(shards, len(inst))
+    counts = split_tree(inst.groupby("k").size().reindex(range(len(targets)), fill_value=0).to_numpy(), leaves, seed)
     inst["shard"] = -1
     for k in range(len(targets)):
         at = np.flatnonzero(inst["k"].to_numpy() == k)
         at = np.random.Generator(np.random.PCG64([seed, 2, k])).permutation(at)
-        inst.loc[at, "shard"] = np.repeat(np.arange(shards), counts[:, k])
-    return inst[["source", "copy", "block", "shard", "quota"]]
+        inst.loc[at, "shard"] = np.repeat(np.arange(leaves), counts[:, k])
+    # Leaf k has the shards from first[k] to first[k + 1].
+    first = np.arange(leaves + 1) * shards // leaves
+    inst["parts"] = (first[1:] - first[:-1])[inst["shard"]]
+    inst["shard"] = first[inst["shard"]]
+    return inst[["source", "copy", "block", "shard", "parts", "quota"]]
 
 
 def mixture(df: DataFrame, targets: DataFrame, record_id: str = "doc_id", source: str = "source", text: str = "text", shards: int | None = None, seed: int = SEED, ranks: str = RANKS) -> DataFrame:
@@ -122,7 +129,9 @@ def mixture(df: DataFrame, targets: DataFrame, record_id: str = "doc_id", source
     empty mixture.  Within a shard, order_key is a random order.
     """
     spark = df.sparkSession
-    want = targets.select(F.col("source").cast("string"), F.col("target_share").cast("double"), F.col("max_repeats").cast("int")).where("source is not null").dropDuplicates(["source"]).toPandas()
+    want = targets.select(F.col("source").cast("string"), F.col("target_share").cast("double"), F.col("max_repeats").cast("int")).where("source is not null").dropDuplicates(["source"]).limit(MOST_SOURCES + 1).toPandas()
+    if len(want) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources with a target")
     counted = cut_lineage(token_counts(df, record_id, source, text, ranks))
     n = {r["source"]: r["n"] for r in counted.where(F.col("source").isin(want["source"].tolist())).groupBy("source").agg(F.count("*").alias("n")).collect()}
     parts = {s: max(1, min(BLOCKS, c // DOCS_PER_BLOCK)) for s, c in n.items()}
@@ -132,7 +141,7 @@ def mixture(df: DataFrame, targets: DataFrame, record_id: str = "doc_id", source
     placed = counted.where(F.col("source").isin(list(parts))).withColumn("block", F.pmod(F.xxhash64("record_id", F.lit(seed)), width).cast("bigint"))
     sizes = placed.groupBy("source", "block").agg(F.sum("n_tokens").alias("n_tokens")).toPandas()  # sources x BLOCKS rows at most
     todo = plan(sizes, want, shards, seed)
-    schema = "source string, copy bigint, block bigint, shard bigint, quota double"
+    schema = "source string, copy bigint, block bigint, shard bigint, parts bigint, quota double"
     instances = spark.createDataFrame(todo, schema) if len(todo) else spark.createDataFrame([], schema)
     instances = instances.withColumn("quota", F.when(F.isnan("quota"), F.lit(None)).otherwise(F.col("quota")))
     # Bounded as the plan is: sources x BLOCKS x repeats rows.
@@ -141,6 +150,7 @@ def mixture(df: DataFrame, targets: DataFrame, record_id: str = "doc_id", source
     run = F.sum("n_tokens").over(Window.partitionBy("source", "copy", "block").orderBy(F.xxhash64("record_id", F.lit(seed + 1)), "record_id"))
     partial = used.where("quota is not null").withColumn("run", run).where("run <= quota").drop("run")
     used = used.where("quota is null").unionByName(partial)
+    used = used.withColumn("shard", F.col("shard") + F.pmod(F.xxhash64("record_id", "copy", F.lit(seed + 3)), F.col("parts")))
     used = used.withColumn("order_key", F.xxhash64("record_id", "copy", F.lit(seed + 2)))
     out = used.select("record_id", "source", "copy", "shard", "order_key", "n_tokens")
     return out.repartition("shard").sortWithinPartitions("shard", "order_key")

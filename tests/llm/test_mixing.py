@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from lettermill.llm._batch import cut_lineage
 from lettermill.llm.mixing import RANKS, encoder, mixture, plan, shares, split_tree
 
 TARGETS = pd.DataFrame({"source": ["a", "b", "c"], "target_share": [0.5, 0.3, 0.2], "max_repeats": [1, 2, 3]})
@@ -41,3 +42,31 @@ def test_frame(spark):
     assert all(abs(r.actual_share - r.target_share) < 0.02 and r.most_repeats <= r.max_repeats for r in got.values())
     assert mixture(df.limit(0), targets).collect() == [] and mixture(df, targets.limit(0)).collect() == []
     assert sorted(map(tuple, mixed)) == sorted(map(tuple, mixture(df.repartition(3), targets, shards=3).collect()))
+
+
+def test_shards_beyond_the_blocks(spark):
+    blocks = pd.DataFrame([(s, b, 100) for s in "abc" for b in range(2)], columns=["source", "block", "n_tokens"])
+    p = plan(blocks, TARGETS, 50)
+    assert (p["parts"] > 1).all() and p["shard"].min() == 0 and (p["shard"] + p["parts"]).max() == 50
+    leaves = p[["shard", "parts"]].drop_duplicates().sort_values("shard")
+    assert (leaves["shard"].to_numpy()[1:] == (leaves["shard"] + leaves["parts"]).to_numpy()[:-1]).all()
+    if __import__("os").path.exists(RANKS):
+        df = spark.createDataFrame([(i, "abc"[i % 3], "the east pier") for i in range(900)], "doc_id bigint, source string, text string")
+        out = mixture(df, spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int"), shards=200).toPandas()
+        assert out["shard"].nunique() > 100 and not out.duplicated(["record_id", "copy"]).any()
+
+
+def test_a_cluster_must_name_a_shared_folder():
+    class Context:
+        master = "spark://head:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    class Frame:
+        sparkSession = Session()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        cut_lineage(Frame())
