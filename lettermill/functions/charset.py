@@ -28,7 +28,7 @@ PROFILES = (
     (("cp874",), "านรอกเงมยลวดทสตะปบคหแจพช่้าี", 0.85),
     (("cp1250", "iso8859_2"), "ąęłóśżźćńáéíěščřžýůúőűöüäăâîșțßđ", 0.8),
     (("cp1254",), "ıİşŞğĞüöçÜÖÇ", 0.8),
-    (("cp1252", "latin_1"), "éèàùâêîôûçëïüäößñáíóúãõøåæÄÖÜÉ", 0.75),
+    (("cp1252", "latin_1"), "éèàùâêîôûçëïüäößñáíóúãõøåæÄÖÜÉ¿¡", 0.75),
 )
 _ESCAPED = ((b"\x1b$", "iso2022_jp"), (b"\x1b(J", "iso2022_jp"), (b"~{", "hz"))
 
@@ -69,11 +69,11 @@ _BROKEN = re.compile(
 
 
 def _fit(text: str, letters: re.Pattern, usual: float, plain: bool) -> float:
-    """How well a decoded head reads: 1 as its languages do, 0 or less not at all."""
+    """How well a decoded head reads: 1 or more as its languages do, 0 or less not at all."""
     high = len(_HIGH.findall(text)) - len(_SIGN.findall(text))
     if high <= 0:
         return 0.5 if plain else 0.0
-    return min(1.0, (len(letters.findall(text)) - 2 * len(_BROKEN.findall(text))) / (usual * high))
+    return (len(letters.findall(text)) - 2 * len(_BROKEN.findall(text))) / (usual * high)
 
 
 def detect(b: bytes) -> tuple[str | None, float]:
@@ -90,7 +90,7 @@ def detect(b: bytes) -> tuple[str | None, float]:
         # Of charsets that fit alike the one listed first is taken, as the commoner of its family.
         if (fit := _fit(text, letters, usual, name == "cp1252")) > sure + 0.02:
             best, sure = name, fit
-    return best, sure
+    return best, min(sure, 1.0)
 
 
 def _utf16_order(b: bytes) -> str:

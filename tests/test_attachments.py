@@ -269,6 +269,16 @@ SENTENCES = {
 }
 
 
+def test_western_and_central_sets_apart():
+    for charset, text in (
+        ("cp1252", "Merci de ne pas transmettre la livraison après les vacances, parce que la façade ne correspond pas. Le contrat était déjà prêt, à côté, où ça."),
+        ("cp1252", "La revisión del año que viene está en el almacén, ¿podrías comprobarlo mañana?"),
+        ("cp1250", "Příští týden bude schůzka v hlavní budově, prosím přijďte včas, děkuji všem."),
+        ("iso8859_2", "Proszę nie wysyłać katalogu próbek nikomu w ciągu dziesięciu dni, ponieważ budżet się nie zgadza."),
+    ):
+        assert decode(text.encode(charset)) == text
+
+
 @pytest.mark.parametrize("charset", SENTENCES)
 def test_detected_charsets(charset):
     text = SENTENCES[charset] * 3
