@@ -7,13 +7,15 @@ rare characters, and the surprisal of reading b after a.  Pass 2 finds in each
 value the maximum-scoring segments of surprisal above ``LEVEL`` and tests the
 inverse mappings (re-encode with the encoding wrongly used, decode with the
 right one) inside the words of those segments alone.  A mapping counts where it lowers the
-surprisal of the segment by ``GAIN`` nats or more.
+surprisal of the segment by ``GAIN`` nats or more.  Characters that were lost on the way
+(U+FFFD) come back from the attachment's own bytes where these still hold them.
 """
 
 from __future__ import annotations
 
 import re
 import string
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -21,6 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.charset import decode
+from ..functions.parsers import html_text
+from ..functions.routing import detect_route
 from ._batch import load, map_batches
 from .unify import code_points
 
@@ -53,23 +58,23 @@ def fold(cp: np.ndarray) -> np.ndarray:
     return fold_table()[np.where(cp < 0x10000, cp, 0xFFFF - 2)]
 
 
+def _decode(b: int, enc: str) -> str:
+    try:
+        return bytes([b]).decode(enc)
+    except UnicodeDecodeError:
+        return chr(b)  # as lenient readers do
+
+
 @lru_cache(1)
-def mappings() -> list[tuple[str, str, dict[str, int], list[str] | None]]:
-    """(wrong, right, character to byte under wrong, byte to character under right)."""
-
-    def decode(b: int, enc: str) -> str:
-        try:
-            return bytes([b]).decode(enc)
-        except UnicodeDecodeError:
-            return chr(b)  # as lenient readers do
-
-    out = []
-    for w in WRONG:
-        to_byte = {decode(b, w): b for b in range(128, 256)}
-        for r in RIGHT:
-            if w != r:
-                out.append((w, r, to_byte, None if r == "utf_8" else [decode(b, r) for b in range(256)]))
-    return out
+def inverses() -> dict[str, dict[str, int]]:
+    """By encoding wrongly used, the byte of each character beyond ASCII."""
+    return {w: {_decode(b, w): b for b in range(128, 256)} for w in WRONG}
+
+
+@lru_cache(1)
+def readings() -> dict[str, list[str] | None]:
+    """By right encoding, the character of each byte; None where several bytes make one."""
+    return {r: None if r == "utf_8" else [_decode(b, r) for b in range(256)] for r in RIGHT}
 
 
 def pair_counts(df: DataFrame, text: str) -> DataFrame:
@@ -126,60 +131,91 @@ _WORD = re.compile(r"[^ \t\n\r]+")
 _BAD = re.compile(r"[\x80-\x9f�]")
 
 
-def remap(piece: str, to_byte: dict[str, int], to_char: list[str] | None) -> str | None:
-    """The piece with its non-ASCII characters mapped back; None where that cannot be."""
-    out, at = [], 0
-    for m in _NON_ASCII.finditer(piece):
-        raw = [to_byte.get(c) for c in m[0]]
-        if None in raw:
-            return None
-        out.append(piece[at : m.start()])
-        if to_char is None:
-            try:
-                out.append(bytes(raw).decode("utf_8"))
-            except UnicodeDecodeError:
-                return None
-        else:
-            out.append("".join(to_char[b] for b in raw))
-        at = m.end()
-    return "".join(out) + piece[at:]
-
-
-def cost(text: str, table: np.ndarray) -> float:
-    c = fold(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32))
-    return float(table[c[:-1], c[1:]].sum()) if len(c) > 1 else 0.0
+def costs(texts: list[str], table: np.ndarray) -> np.ndarray:
+    """The surprisal of each text, all in one look-up."""
+    cp = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    c = fold(cp)
+    step = np.concatenate([table[c[:-1], c[1:]], [0]]).astype(np.float64)
+    end = np.cumsum(size)
+    step[end - 1] = 0.0  # from one text to the next
+    return np.add.reduceat(step, end - size)
+
+
+def mapped(word: str) -> dict[str, str]:
+    """What the inverse mappings make of a word: text, and the mapping that gave it first."""
+    pieces = _NON_ASCII.split(word)
+    runs = _NON_ASCII.findall(word)
+    chars = set("".join(runs))
+    out: dict[str, str] = {}
+    tried: set[bytes] = set()
+    for w, to_byte in inverses().items():
+        if not chars <= to_byte.keys():
+            continue
+        raw = [bytes(to_byte[c] for c in r) for r in runs]
+        key = b"\0".join(raw)
+        if key in tried:  # encodings agree on most letters: the same bytes read the same
+            continue
+        tried.add(key)
+        for r, to_char in readings().items():
+            if to_char is None:
+                try:
+                    back = [x.decode("utf_8") for x in raw]
+                except UnicodeDecodeError:
+                    continue
+            elif r == w:
+                continue
+            else:
+                back = ["".join([to_char[b] for b in x]) for x in raw]
+            new = "".join(x for pair in zip(pieces, [*back, ""]) for x in pair)
+            if new != word and new not in out and not _BAD.search(new):
+                out[new] = f"{w}>{r}"
+    return out
 
 
 #: Punctuation that sound text has at the ends of words.
 _TYPOGRAPHIC = "–—‘’‚“”„…«»‹›€•·°" + string.punctuation
 _SPACE = " \t\n\r"
+#: Words already mapped by the table of this fingerprint: they recur in all batches of a worker.
 _CACHE: dict[str, tuple[str, float, str]] = {}
+_CACHE_OF: list[int] = [0]
+_CACHE_SIZE = 200_000
 
 
 def best_mapping(word: str, table: np.ndarray) -> tuple[str, float, str]:
     """(restored, nats gained, mapping) of a word; the same words recur, so they are kept."""
     hit = _CACHE.get(word)
     if hit is None:
-        base = cost(f" {word} ", table)
-        best, gain, name = word, 0.0, ""
-        chars = {c for c in word if c > "\x7f"}
-        for w, r, to_byte, to_char in mappings():
-            if not chars <= to_byte.keys():
-                continue
-            new = remap(word, to_byte, to_char)
-            if new is None or new == word or _BAD.search(new):
-                continue
-            now = cost(f" {new} ", table)
+        hit = (word, 0.0, "")
+        tries = mapped(word)
+        if tries:
+            news = list(tries)
+            cost = costs([f" {x} " for x in (word, *news)], table)
+            gain = cost[0] - cost[1:]
             # It must also read better by the pair: fewer characters alone make no better text.
-            if base - now > gain and now * (len(word) + 1) < base * (len(new) + 1):
-                best, gain, name = new, base - now, f"{w}>{r}"
-        hit = (best, gain, name) if gain >= max(GAIN, 0.4 * sum(c > "\x7f" for c in word)) else (word, 0.0, "")
-        if len(_CACHE) > 200_000:
+            size = np.fromiter(map(len, news), np.int64, len(news))
+            gain[cost[1:] * (len(word) + 1) >= cost[0] * (size + 1)] = 0.0
+            k = int(gain.argmax())
+            if gain[k] >= max(GAIN, 0.4 * sum(c > "\x7f" for c in word)):
+                hit = (news[k], float(gain[k]), tries[news[k]])
+        if len(_CACHE) > _CACHE_SIZE:
             _CACHE.clear()
         _CACHE[word] = hit
     return hit
 
 
+def remap(line: str, name: str) -> str | None:
+    """The line with all characters beyond ASCII taken back by one mapping; None where that cannot be."""
+    w, r = name.split(">")
+    to_byte, to_char = inverses()[w], readings()[r]
+    try:
+        if to_char is None:
+            return _NON_ASCII.sub(lambda m: bytes(to_byte[c] for c in m[0]).decode("utf_8"), line)
+        return "".join([c if c < "\x80" else to_char[to_byte[c]] for c in line])
+    except (KeyError, UnicodeDecodeError):
+        return None
+
+
 def repair(text: str, table: np.ndarray) -> tuple[str, float, str]:
     """The text with its garbled words restored, the nats gained, and the mapping used most."""
     if text.isascii():
@@ -203,7 +239,19 @@ def repair(text: str, table: np.ndarray) -> tuple[str, float, str]:
                 at = m.end()
                 gained += gain
                 used[name] = used.get(name, 0) + len(word)
-    return "".join(out) + text[at:], gained, max(used, key=used.get) if used else ""
+    new, name = "".join(out) + text[at:], max(used, key=used.get) if used else ""
+    if not name:
+        return new, gained, name
+    # Words too short to tell by themselves go with their line, if all of it reads better by the mapping used most.
+    lines = new.split("\n")
+    before = text.split("\n")
+    for k, (a, b) in enumerate(zip(before, lines)):
+        whole = remap(a, name) if a != b else None
+        if whole is not None and whole != b and not _BAD.search(whole):
+            was, now = costs([f" {b} ", f" {whole} "], table)
+            if now < was:
+                lines[k] = whole
+    return "\n".join(lines), gained, name
 
 
 def garbled(df: DataFrame, record_id: str, text: str, with_text: bool = True) -> DataFrame:
@@ -215,12 +263,14 @@ def garbled(df: DataFrame, record_id: str, text: str, with_text: bool = True) ->
     spark = df.sparkSession
     rows = pair_counts(df, text).toPandas()  # at most K * K rows
     table = surprisal(rows["pair"].to_numpy(np.int64), rows["n"].to_numpy(np.float64))
-    sent = spark.sparkContext.broadcast(table)
+    sent, fingerprint = spark.sparkContext.broadcast(table), zlib.crc32(table.tobytes())
     src = df.select(F.col(record_id).cast("bigint").alias("__id"), F.col(text).cast("string").alias("__text"))
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
         t = sent.value
-        _CACHE.clear()
+        if _CACHE_OF[0] != fingerprint:
+            _CACHE.clear()
+            _CACHE_OF[0] = fingerprint
         out: dict[str, list] = {"record_id": [], "mapping": [], "gain": [], "lost": [], "restored": []}
         for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if not v or v.isascii():
@@ -235,11 +285,51 @@ def garbled(df: DataFrame, record_id: str, text: str, with_text: bool = True) ->
     return map_batches(src, run, "record_id bigint, mapping string, gain double, lost int, restored string")
 
 
+def from_content(found: DataFrame, files: DataFrame, record_id: str, content: str, filename: str, content_type: str) -> DataFrame:
+    """The rows of ``garbled`` with characters taken from the file's own bytes where the text lost some.
+
+    files has record_id (repeated rows count once) and the other columns.  Only rows that lost
+    characters meet their files.  A file's bytes are decoded by what they show, not by what its
+    type declares; the result counts if it lost fewer characters and agrees with the
+    text about it.  Such rows have the mapping "content".
+    """
+    own = files.select(F.col(record_id).cast("bigint").alias("record_id"), F.col(content).cast("binary").alias("__b"), F.col(filename).cast("string").alias("__n"), F.col(content_type).cast("string").alias("__t")).dropDuplicates(["record_id"])
+    hurt = found.where("lost > 0").join(own, "record_id", "left")
+
+    def run(batch: pa.RecordBatch) -> dict[str, list]:
+        cols = {n: batch.column(k).to_pylist() for k, n in enumerate(batch.schema.names)}
+        for k, (b, n, t, text) in enumerate(zip(cols["__b"], cols["__n"], cols["__t"], cols["restored"])):
+            new = reread(b, n, t, text) if b and text else None
+            if new is not None:
+                cols["mapping"][k], cols["restored"][k], cols["lost"][k] = "content", new, new.count("\ufffd")
+        return {n: cols[n] for n in ("record_id", "mapping", "gain", "lost", "restored")}
+
+    return found.where("lost = 0").unionByName(map_batches(hurt, run, "record_id bigint, mapping string, gain double, lost int, restored string"))
+
+
+def reread(content: bytes, filename: str | None, content_type: str | None, text: str) -> str | None:
+    """The file's text decoded anew, as far as ``text`` goes; None if it isn't the same text or lost as much."""
+    kind, _ = detect_route(content, filename, content_type)
+    if kind not in ("text", "html"):
+        return None
+    new = decode(content)
+    new = html_text(new) if kind == "html" else new
+    plain = lambda x: _NON_ASCII.sub("", x).split()
+    want, have = plain(text), plain(new)
+    if not want or have[: max(1, len(want) - 1)] != want[: max(1, len(want) - 1)] or new.count("\ufffd") >= text.count("\ufffd"):
+        return None
+    if len(have) > len(want):  # the text was cut as well
+        new = new[: [m.end() for m in re.finditer(r"\S+", new)][len(want) - 1]] if len(new.split()) >= len(want) else new
+    return new
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = garbled(load(spark, sf_dir, "attachment_results"), "attachment_id", "extraction", with_text=False)
     return found.select(F.col("record_id").alias("attachment_id")).distinct()
 
 
 def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each garbled attachment: the mapping, lost characters that could not be had again, and the text restored."""
     found = garbled(load(spark, sf_dir, "attachment_results"), "attachment_id", "extraction").dropDuplicates(["record_id"])
+    found = from_content(found, load(spark, sf_dir, "attachments"), "attachment_id", "content", "filename", "content_type")
     return found.select(F.col("record_id").alias("attachment_id"), "mapping", "lost", "restored")

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from lettermill.llm.encoding import K, fold, garbled, repair, segments, surprisal
+from lettermill.llm.encoding import K, fold, from_content, garbled, mapped, repair, segments, surprisal
 from lettermill.llm.unify import code_points
 
 SENTENCES = ["Nous avons décidé à l'étage que le relevé de février sera présenté à la direction.", "Die Übersicht der Kosten für März wird später geprüft, während wir möglichst früh anfangen.", "Мы решили в портовом офисе, что новый отчёт ещё не готов и нужно обсудить его позже.", "The café invoice was sent to the wrong address, so we could finish this early next week."]
@@ -58,3 +58,22 @@ def test_frame(spark):
     got = garbled(df, "attachment_id", "extraction").collect()
     assert sorted(r.record_id for r in got) == [100, 100, 101]
     assert garbled(df.limit(0), "attachment_id", "extraction").collect() == []
+
+
+def test_mappings_against_codecs():
+    for right, wrong in (("utf-8", "cp1252"), ("cp1251", "cp1252"), ("koi8_r", "cp1251")):
+        bad = "новый".encode(right).decode(wrong) if right != "utf-8" else "déjà vu".encode(right).decode(wrong)
+        assert {"новый", "déjà vu"} & set(mapped(bad))
+    assert mapped("plain") == {} and mapped("日本") == {}
+
+
+def test_lost_characters_come_from_the_bytes(spark):
+    text = "Die Prüfung im Lager ist später für alle möglich.\n" * 3
+    hurt = text.encode("cp1252").decode("utf-8", "replace")
+    rows = [(k, "Wir haben die Übersicht geprüft.") for k in range(20)] + [(100, hurt), (101, hurt[:70]), (102, hurt), (103, hurt), (None, hurt)]
+    found = garbled(spark.createDataFrame(rows, "a bigint, t string"), "a", "t")
+    files = [(100, text.encode("cp1252"), "x.txt", "text/plain"), (101, text.encode("cp1252"), None, None), (102, b"another text \xfc", "x.txt", None), (100, text.encode("cp1252"), "x.txt", "text/plain"), (103, None, None, None)]
+    out = {r.record_id: r for r in from_content(found, spark.createDataFrame(files, "a bigint, c binary, n string, ct string"), "a", "c", "n", "ct").collect()}
+    assert out[100].restored.strip() == text.strip() and out[100].mapping == "content" and out[100].lost == 0
+    assert text.startswith(out[101].restored) and out[101].lost == 0
+    assert out[102].restored == hurt and out[102].lost > 0 and out[103].lost > 0 and out[None].lost > 0
