@@ -31,7 +31,7 @@ _CLOSED = re.compile(r"[\]})>|`$*_~\\]\s*$")
 _BULLET = re.compile(r"^\s*(?:[-*+•]|\d{1,3}[.)]|#|\\item)\s+")
 _DELIMITERS = "\t;,|"
 _NAME = re.compile(r"[^\W\d_][\w.'’-]*(?:,?\s+[^\W\d_][\w.'’-]*){0,3}$")
-SHAPES = ("mark", "sentence", "closed", "row", "short_row", "item", "name", "open")
+SHAPES = ("mark", "sentence", "closed", "row", "short_row", "item", "name", "line", "open")
 
 
 #: A word that was misread tells nothing of its being whole.
@@ -76,7 +76,8 @@ def shape(text: str) -> tuple[str, str]:
         words = line.replace(",", " ").split()
         if all(w[0].isupper() for w in words):
             return "name", ""
-    return "open", ""
+    # A short line of its own may be whole without a stop: its last word tells.
+    return ("line", last_word(line)) if len(line) < 120 else ("open", "")
 
 
 def units(text: str) -> list[str]:
@@ -94,6 +95,20 @@ def units(text: str) -> list[str]:
     return [u for u in out if u]
 
 
+#: A word and what stands right behind it.
+_SPOKEN = re.compile(r"([^\s.!?,;:]+)([.!?](?=\s|\Z))?")
+
+
+def closings(text: str) -> dict[str, list[int]]:
+    """Of each word: how often it occurs, and how often it ends a sentence."""
+    out: dict[str, list[int]] = {}
+    for word, end in _SPOKEN.findall(text):
+        n = out.setdefault(word.casefold(), [0, 0])
+        n[0] += 1
+        n[1] += end != ""
+    return out
+
+
 def _lognormal_fit(x: np.ndarray, n: np.ndarray, censored: np.ndarray) -> tuple[float, float, float]:
     """(mu, sigma, log-likelihood) of right-censored log-lengths by EM from sufficient counts."""
     free = ~censored
@@ -192,7 +207,11 @@ def limits(values: DataFrame) -> DataFrame:
 
 
 #: Log odds of a cut from the kind of ending (complete texts end so rarely, or always).
-EVIDENCE = {"mark": 6.0, "sentence": -4.0, "closed": -3.0, "row": -3.0, "short_row": 5.0, "item": -3.0, "name": -3.0, "open": 5.0}
+EVIDENCE = {"mark": 6.0, "sentence": -4.0, "closed": -3.0, "row": -3.0, "short_row": 5.0, "item": -3.0, "name": -3.0, "line": 5.0, "open": 5.0}
+#: Share of its occurrences in which a word ends a sentence, from which on a line that ends in it is whole.
+ENDS = 0.25
+#: Letters of such a word: shorter ones are as well the beginnings of others.
+LEAST_LETTERS = 3
 
 
 def truncated(results: DataFrame, sources: DataFrame, record_id: str, text: str, source: str, status: str | None = None) -> DataFrame:
@@ -221,17 +240,21 @@ def truncated(results: DataFrame, sources: DataFrame, record_id: str, text: str,
     # Lengths and endings are read several times below; the texts they come from need not be.
     ends = cut_lineage(ends.join(where, "record_id", "left").withColumn("source", F.coalesce("source", F.lit("(none)"))))
 
-    # How often each word ends a list item or row in the corpus.
+    # How often each word ends a list item or row in the corpus, how often it occurs, and how often it ends a sentence.
     def inner(batch: pa.RecordBatch) -> dict[str, list]:
-        count: dict[str, int] = {}
+        count: dict[str, list[int]] = {}
         for t in batch.column(1).to_pylist():
             for u in units(t):
-                count[u] = count.get(u, 0) + 1
-        return {"unit": list(count), "n": list(count.values())}
-
-    whole = map_batches(src, inner, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n_whole"))
-    asked = ends.where("ending in ('row', 'item')").select(F.col("last").alias("unit")).distinct()
-    known = asked.join(whole, "unit", "left").select(F.col("unit").alias("last"), F.coalesce("n_whole", F.lit(0)).alias("n_whole"))
+                count.setdefault(u, [0, 0, 0])[0] += 1
+            for w, (n, e) in closings(t).items():
+                c = count.setdefault(w, [0, 0, 0])
+                c[1] += n
+                c[2] += e
+        return {"unit": list(count), "n": [c[0] for c in count.values()], "said": [c[1] for c in count.values()], "closed": [c[2] for c in count.values()]}
+
+    whole = map_batches(src, inner, "unit string, n bigint, said bigint, closed bigint").groupBy("unit").agg(F.sum("n").alias("n_whole"), F.sum("said").alias("n_said"), F.sum("closed").alias("n_closed"))
+    asked = ends.where("ending in ('row', 'item', 'line')").select(F.col("last").alias("unit")).distinct()
+    known = asked.join(whole, "unit", "left").select(F.col("unit").alias("last"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_whole", "n_said", "n_closed")])
     # A word that ends items elsewhere ends a whole one here; one that never does is the rest of a longer one.
     ends = ends.join(known, "last", "left")
     fits = limits(ends)
@@ -244,6 +267,7 @@ def truncated(results: DataFrame, sources: DataFrame, record_id: str, text: str,
     for name, w in EVIDENCE.items():
         kind = F.when(F.col("ending") == name, F.lit(w)).otherwise(kind)
     kind = F.when(F.col("ending").isin("row", "item") & (F.col("last") != "") & (F.coalesce("n_whole", F.lit(0)) == 0), F.lit(5.0)).otherwise(kind)
+    kind = F.when((F.col("ending") == "line") & (F.length("last") >= LEAST_LETTERS) & (F.col("n_closed") >= 2) & (F.col("n_closed") >= ENDS * F.col("n_said")), F.lit(EVIDENCE["item"])).otherwise(kind)
     odds = cens + kind + F.when(F.col("broken"), F.lit(8.0)).otherwise(F.lit(0.0))  # text kept from a file that ended too soon
     out = joined.withColumn("posterior", 1 / (1 + F.exp(-odds)))
     return out.select("record_id", "source", "ending", "n_chars", "n_bytes", "limit", "unit", "posterior", (F.col("posterior") > 0.5).alias("truncated"))

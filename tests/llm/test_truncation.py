@@ -55,3 +55,12 @@ def test_frame(spark):
     assert {k for k, v in got.items() if v.truncated} == {i for i in range(1, 400, 2) if len(texts[i]) > 700} | {1002, 1003}
     assert 1000 not in got and 1001 not in got and got[1002].source == "(none)" and got[1].limit == 700
     assert truncated(results.limit(0), sources.limit(0), "attachment_id", "extraction", "source_system").collect() == []
+
+
+def test_short_last_lines(spark):
+    """A line without a stop is whole if its last word mostly ends sentences elsewhere."""
+    texts = [(k, "We will look at the plan with the supplier. You may have it in the office. It is the supplier again. We go to the office.", "s") for k in range(40)]
+    texts += [(100, "First a line.\nwe meet the supplier", "s"), (101, "First a line.\nwe meet the sup", "s"), (102, "First a line.\nand then we go with the", "s"), (103, "First a line.\nwe go t", "s")]
+    df = spark.createDataFrame(texts, "a bigint, t string, s string")
+    got = {r.record_id: r.truncated for r in truncated(df, df, "a", "t", "s").collect()}
+    assert [got[k] for k in (0, 100, 101, 102, 103)] == [False, False, True, True, True]
