@@ -8,7 +8,7 @@ from lettermill.llm.truncation import _lognormal_fit, fit_source, shape, truncat
 
 def test_shapes():
     cases = {
-        "All is done.": "sentence", "It goes on and": "open", "It goes on and…": "mark", "It goes on [...]": "mark", "Text.\n\n- one pier\n- two piers": "item", "a\tb\tc\nd\te\tf\ng\th": "short_row", "a\tb\tc\nd\te\tf\ng\th\ti": "row",
+        "All is done.": "sentence", "It goes on and": "line", "It goes on and…": "mark", "It goes on [...]": "mark", "Text.\n\n- one pier\n- two piers": "item", "a\tb\tc\nd\te\tf\ng\th": "short_row", "a\tb\tc\nd\te\tf\ng\th\ti": "row",
         "All is done.\n\nKind regards,\nAnn Poe": "name", "\\end{tabular}": "closed", "": "sentence",
     }
     assert {k: shape(k)[0] for k in cases} == cases
