@@ -1,11 +1,11 @@
 """Visually identical text with different characters (problem 2).
 
-A whole Arrow batch is one array of code points.  Lookup tables gather, for each
-code point, its script, its class and the length and place of its replacement;
-lengths become expansion offsets (``repeat`` and a running index), marks are
-composed by sorted-pair search on whole arrays, and look-alike letters are
-mapped where their word is written in another alphabet.  No Python string is
-touched per row; text leaves the array form once per batch.
+The values of an Arrow batch that aren't ASCII are one array of code points.  Lookup tables
+gather, for each code point, its script, its class and the length and place of its
+replacement; lengths become expansion offsets (``repeat`` and a running index), marks are
+composed by sorted-pair search on whole arrays, and look-alike letters are mapped where
+their word is written in another alphabet.  Strings are touched to enter the array and to
+leave it, and, of HTML, to take its tags off.
 """
 
 from __future__ import annotations
@@ -28,12 +28,18 @@ PLAIN, STYLED, LIGATURE, MARK, INVISIBLE, SPACE = range(6)
 REASONS = {"styled": 1, "ligature": 2, "decomposed": 4, "invisible": 8, "space": 16, "lookalike": 32}
 INVISIBLES = (0x00AD, 0x034F, 0x061C, 0x180E, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x202A, 0x202B, 0x202C, 0x202D, 0x202E, 0x2060, 0x2061, 0x2062, 0x2063, 0x2064, 0xFEFF)
 SPACES = (0x00A0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)
-LATIN, CYRILLIC, GREEK = 1, 2, 3
-#: Letters of the three alphabets that share a shape.
+LATIN, CYRILLIC, GREEK, ARMENIAN, CHEROKEE = 1, 2, 3, 4, 5
+ALPHABETS = {"LATIN": LATIN, "CYRILLIC": CYRILLIC, "GREEK": GREEK, "ARMENIAN": ARMENIAN, "CHEROKEE": CHEROKEE}
+N_SCRIPTS = len(ALPHABETS) + 1
+#: Stands for U+0000, which parts values in the array: a code point that no text may hold.
+ZERO = "\U0010ffff"
+#: Letters of the alphabets that share a shape.
 LOOKALIKE = (
     ("AΑА", "BΒВ", "EΕЕ", "ZΖ", "HΗН", "IΙІ", "JЈ", "KΚК", "MΜМ", "NΝ", "OΟО", "PΡР", "CϹС", "SЅ", "TΤТ", "YΥУ", "XΧХ")
     + ("aαа", "cϲс", "eе", "iιі", "jј", "oοо", "pρр", "sѕ", "uυ", "vν", "xχх", "yу", "kκк", "hһ", "dԁ", "qԛ", "wԝ", "gɡ")
     + ("ïї", "ëё")
+    + ("oօ", "uս", "hհ", "nո", "gց", "qզ", "jյ", "OՕ", "SՏ", "UՍ", "LԼ")
+    + ("AᎪ", "BᏴ", "CᏟ", "DᎠ", "EᎬ", "GᏀ", "HᎻ", "JᎫ", "KᏦ", "LᏞ", "MᎷ", "PᏢ", "SᏚ", "TᎢ", "VᏙ", "WᎳ", "ZᏃ", "RᏒ")
 )
 
 
@@ -54,7 +60,7 @@ def tables() -> dict[str, np.ndarray]:
         letter[c] = cat[0] == "L"
         if cat[0] == "L":
             name = unicodedata.name(ch, "")
-            script[c] = LATIN if name.startswith("LATIN") else CYRILLIC if name.startswith("CYRILLIC") else GREEK if name.startswith("GREEK") and c > 0x36F else 0
+            script[c] = ALPHABETS.get(name.split(" ", 1)[0], 0) if c > 0x36F or name.startswith("LATIN") else 0
         if cat in ("Mn", "Mc"):
             kind[c] = MARK
         deco = unicodedata.decomposition(ch)
@@ -69,6 +75,8 @@ def tables() -> dict[str, np.ndarray]:
             if to != ch:
                 kind[c] = LIGATURE
                 put(c, to)
+        elif deco.startswith("<narrow>") or deco and deco[0] != "<" and " " not in deco:
+            put(c, unicodedata.normalize("NFKC", ch))  # half-width forms, and signs that are another letter by definition
         elif deco and deco[0] != "<" and " " in deco and unicodedata.normalize("NFC", ch) == ch:
             a, b = (int(x, 16) for x in deco.split())
             pairs[a << 21 | b] = c
@@ -77,14 +85,14 @@ def tables() -> dict[str, np.ndarray]:
     for c in SPACES:
         kind[c] = SPACE
         put(c, " ")
-    alike = np.zeros((4, TOP), np.int32)
+    alike = np.zeros((N_SCRIPTS, TOP), np.int32)
     for group in LOOKALIKE:
         for a in group:
             for b in group:
                 if a != b and script[ord(b)] != script[ord(a)]:
                     alike[script[ord(b)], ord(a)] = ord(b)
     keys = np.array(sorted(pairs), np.int64)
-    notable = (kind > 0) | (script > LATIN)
+    notable = (kind > 0) | (script > LATIN) | (place != np.arange(TOP))
     return {"notable": notable, "shared": alike.any(0), "kind": kind, "script": script, "letter": letter, "size": size, "place": place, "pool": np.array(pool, np.int32), "alike": alike, "keys": keys, "made": np.array([pairs[k] for k in keys.tolist()], np.int32)}
 
 
@@ -129,7 +137,8 @@ def unify(values: list[str]) -> tuple[list[str], np.ndarray]:
     out = list(values)
     if not todo:
         return out, reasons
-    picked = [values[i].replace("\0", " ") if "\0" in values[i] else values[i] for i in todo]
+    zeros = {i for i in todo if "\0" in values[i]}
+    picked = [values[i].replace("\0", ZERO) if i in zeros else values[i] for i in todo]
     cp, starts = code_points(picked)
     # Values without any code point of note are in the consistent form already.
     some = np.add.reduceat(t["notable"][np.where(cp < TOP, cp, 0xFFFF)], starts[:-1], dtype=np.int64) > 0
@@ -183,13 +192,13 @@ def unify(values: list[str]) -> tuple[list[str], np.ndarray]:
         begin = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
         word = np.cumsum(inside & ~np.concatenate([[False], inside[:-1]])) - 1
         at = np.flatnonzero(inside & (script > 0))
-        counts = np.bincount(word[at] * 4 + script[at], minlength=4 * len(begin)).reshape(-1, 4)
+        counts = np.bincount(word[at] * N_SCRIPTS + script[at], minlength=N_SCRIPTS * len(begin)).reshape(-1, N_SCRIPTS)
         mixed = (counts > 0).sum(1) > 1
         if mixed.any():
             # The word's own alphabet has the letters that no other alphabet shares; else it has most letters, Latin first.
             alone = at[~t["shared"][safe[at]]]
-            own = np.bincount(word[alone] * 4 + script[alone], minlength=4 * len(begin)).reshape(-1, 4)
-            main = (own * 1_000_000 + counts * 4 + np.array([0, 3, 2, 1])).argmax(1)
+            own = np.bincount(word[alone] * N_SCRIPTS + script[alone], minlength=N_SCRIPTS * len(begin)).reshape(-1, N_SCRIPTS)
+            main = (own * 1_000_000 + counts * N_SCRIPTS + np.array([0, *range(N_SCRIPTS - 1, 0, -1)])).argmax(1)
             # Two letters alone, as in units, are no word.
             mixed &= (counts.sum(1) > 2) & (counts[np.arange(len(counts)), main] > 1)
             at = at[mixed[word[at]]]
@@ -200,7 +209,7 @@ def unify(values: list[str]) -> tuple[list[str], np.ndarray]:
             new[at[fit]] = to[fit]
     text = new.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").split("\0")
     for i, k in enumerate(todo):
-        out[k] = text[i]
+        out[k] = text[i].replace(ZERO, "\0") if k in zeros else text[i]
     reasons[todo] = bits
     return out, reasons
 

@@ -53,3 +53,8 @@ def test_forms_of_equal_looking_bodies(spark, tmp_path):
     for f in ("text", "html"):
         assert got[f, 1].form.strip() == "café" and got[f, 1].form_hash == got[f, 2].form_hash
     assert got["text", 3].form_hash != got["text", 1].form_hash
+
+
+def test_signs_that_are_letters_and_half_width_forms():
+    cases = {"5 \u2126": "5 Ω", "3 \u212b": "3 Å", "\uff76\uff9e": "ガ", "h\u0585me wｏrk": "home work", "ᏚᎪLE": "SALE", "a\0b\u00a0c": "a\0b c", "é\0": "é\0"}
+    assert dict(zip(cases, unify(list(cases))[0])) == cases
