@@ -105,29 +105,34 @@ def surprisal(pair: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def segments(score: np.ndarray) -> list[tuple[int, int]]:
-    """All maximal scoring segments (Ruzzo and Tompa), as half-open ranges."""
-    stack: list[tuple[int, int, float, float]] = []  # begin, end, sum before, sum after
-    total = 0.0
-    for i, x in enumerate(score.tolist()):
-        if x <= 0:
-            total += x
-            continue
-        lo, hi, left, right = i, i + 1, total, total + x
-        total = right
+    """All maximal scoring segments (Ruzzo and Tompa), as half-open ranges.
+
+    Neighbours of one sign are never parted, so runs of them are taken at once.
+    """
+    up = score > 0
+    if not up.any():
+        return []
+    edge = np.flatnonzero(np.concatenate([[True], up[1:] != up[:-1]]))
+    end = np.append(edge[1:], len(score))
+    sums = np.add.reduceat(score.astype(np.float64), edge)
+    total = np.cumsum(sums)
+    rise = up[edge]
+    # Begin, end, sum before, sum after, and place of the last one before with a smaller sum before: the search goes along these.
+    stack: list[tuple[int, int, float, float, int]] = []
+    for lo, hi, left, right in zip(edge[rise].tolist(), end[rise].tolist(), (total - sums)[rise].tolist(), total[rise].tolist()):
         while True:
             j = len(stack) - 1
             while j >= 0 and stack[j][2] >= left:
-                j -= 1
+                j = stack[j][4]
             if j < 0 or stack[j][3] >= right:
-                stack.append((lo, hi, left, right))
+                stack.append((lo, hi, left, right, j))
                 break
             lo, left = stack[j][0], stack[j][2]
             del stack[j:]
-    return [(a, b) for a, b, _, _ in stack]
+    return [x[:2] for x in stack]
 
 
 _NON_ASCII = re.compile(r"[^\x00-\x7f]+")
-_WORD = re.compile(r"[^ \t\n\r]+")
 _BAD = re.compile(r"[\x80-\x9f�]")
 
 
@@ -175,7 +180,7 @@ def mapped(word: str) -> dict[str, str]:
 
 #: Punctuation that sound text has at the ends of words.
 _TYPOGRAPHIC = "–—‘’‚“”„…«»‹›€•·°" + string.punctuation
-_SPACE = " \t\n\r"
+_SPACES = np.array([9, 10, 13, 32], np.int32)
 #: Words already mapped by the table of this fingerprint: they recur in all batches of a worker.
 _CACHE: dict[str, tuple[str, float, str]] = {}
 _CACHE_OF: list[int] = [0]
@@ -220,25 +225,34 @@ def repair(text: str, table: np.ndarray) -> tuple[str, float, str]:
     """The text with its garbled words restored, the nats gained, and the mapping used most."""
     if text.isascii():
         return text, 0.0, ""
-    c = fold(np.frombuffer((" " + text).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32))
+    cp = np.frombuffer((" " + text).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+    c = fold(cp)
+    found = segments(table[c[:-1], c[1:]] - LEVEL)
+    if not found:
+        return text, 0.0, ""
+    # The words that a segment touches, of those with characters beyond ASCII, are taken one by one.
+    turn = np.zeros(len(text) + 1, np.int64)
+    a, b = np.array(found).T
+    np.add.at(turn, a, 1)
+    np.add.at(turn, b, -1)
+    own = cp[1:]
+    solid = ~np.isin(own, _SPACES)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], solid.astype(np.int8), [0]])))
+    begin, end = edge[::2], edge[1::2]
+    high = np.concatenate([[0], np.cumsum(own > 0x7F)])
+    touched = np.concatenate([[0], np.cumsum(np.cumsum(turn[:-1]) > 0)])
+    pick = (high[end] > high[begin]) & (touched[end] > touched[begin])
     out, at, gained, used = [], 0, 0.0, {}
-    for a, b in segments(table[c[:-1], c[1:]] - LEVEL):
-        # A segment is widened to whole words, which are then taken one by one.
-        a = max(a, at)
-        while a > at and text[a - 1] not in _SPACE:
-            a -= 1
-        while b < len(text) and text[b] not in _SPACE:
-            b += 1
-        for m in _WORD.finditer(text, a, b):
-            word = m[0]
-            if word.strip(_TYPOGRAPHIC).isascii():
-                continue
-            new, gain, name = best_mapping(word, table)
-            if name:
-                out += [text[at : m.start()], new]
-                at = m.end()
-                gained += gain
-                used[name] = used.get(name, 0) + len(word)
+    for a, b in zip(begin[pick].tolist(), end[pick].tolist()):
+        word = text[a:b]
+        if word.strip(_TYPOGRAPHIC).isascii():
+            continue
+        new, gain, name = best_mapping(word, table)
+        if name:
+            out += [text[at:a], new]
+            at = b
+            gained += gain
+            used[name] = used.get(name, 0) + len(word)
     new, name = "".join(out) + text[at:], max(used, key=used.get) if used else ""
     if not name:
         return new, gained, name
