@@ -94,8 +94,6 @@ def blocks(value: str) -> list[tuple[str, int, int]]:
                 sig += kind == 2
                 if name in ("div", "blockquote", "table", "p", "tr", "ul", "ol", "li", "pre", "body", "html"):
                     stack.append((name, kind))
-                    if len(stack) > 500:
-                        del stack[:250]
         elif name in ("td", "th") and closing:
             buf.append("\t")
     if at < len(value):

@@ -38,28 +38,31 @@ _MASK = (1 << 62) - 1
 _ATTR = re.compile(r"\b(?:class|id)\s*=\s*[\"']?([\w-]+)", re.I)
 
 
+_VOID = frozenset(("br", "hr", "img", "meta", "link", "input", "col", "wbr"))
+
+
 def roles(value: str) -> tuple[dict[tuple[str, str], int], bool]:
     """Counts of tag tokens (tag with sign, role), and whether tags nest."""
     out: dict[tuple[str, str], int] = {}
     stack: list[str] = []
+    opened: dict[str, int] = {}
     good = True
     for m in _html.TAG.finditer(_html.HIDDEN.sub("", value)):
         name = m[2].lower()
         mark = _ATTR.search(m[3]) if m[3] else None
         if m[1]:
-            if name in stack:
-                while stack[-1] != name:
-                    stack.pop()
-                stack.pop()
+            if opened.get(name):
+                while (top := stack.pop()) != name:
+                    opened[top] -= 1
+                opened[name] -= 1
             else:
                 good = False
             key = ("/" + name, stack[-1] if stack else "")
         else:
             key = (name + ("." + mark[1] if mark else ""), stack[-1] if stack else "")
-            if name not in ("br", "hr", "img", "meta", "link", "input", "col", "wbr") and not m[0].endswith("/>"):
+            if name not in _VOID and not m[0].endswith("/>"):
                 stack.append(name)
-                if len(stack) > 400:
-                    del stack[:200]
+                opened[name] = opened.get(name, 0) + 1
         out[key] = out.get(key, 0) + 1
     return out, good
 
@@ -95,13 +98,12 @@ def templates(stats: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
     Valid: on ``least`` pages or more, two tokens or more, and as many closing tags
     as there are opening ones of their names (void elements need none).
     """
-    void = "'br','hr','img','meta','link','input','col','wbr'"
     name = F.regexp_extract("tag", r"^/?([a-z0-9:-]+)", 1)
     classes = stats.where(F.col("pages") >= least).groupBy("host", "vector", "pages").agg(
         F.array_sort(F.collect_set("tag")).alias("tags"),
         F.count("*").alias("n"),
         F.sum(F.when(F.col("tag").startswith("/"), 1).otherwise(0)).alias("n_close"),
-        F.sum(F.when(~F.col("tag").startswith("/") & ~name.isin(*[x.strip("'") for x in void.split(",")]), 1).otherwise(0)).alias("n_open"),
+        F.sum(F.when(~F.col("tag").startswith("/") & ~name.isin(*sorted(_VOID)), 1).otherwise(0)).alias("n_open"),
         F.min(F.col("nested") * 10 >= F.col("pages") * 8).alias("nests"),
     )
     valid = classes.where((F.col("n") >= 2) & (F.col("n_close") >= 1) & (F.col("n_open") >= 1) & F.col("nests"))
@@ -209,7 +211,28 @@ def clean(text: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(x.rstrip() for x in text.split("\n"))).strip()
 
 
-def clean_text(df: DataFrame, record_id: str, fields: dict[str, bool], template: DataFrame, host: str | None = None, only_residue: bool = False) -> DataFrame:
+class Deduced:
+    """The template's tags that HTML doesn't know, by host: few are sent to all tasks, many are joined.
+
+    Built once a query, as it reads all pages.
+    """
+
+    def __init__(self, template: DataFrame, most: int = MOST_SENT) -> None:
+        spark = template.sparkSession
+        tags = template.select("host", F.explode("tags").alias("tag")).distinct()
+        unknown = tags.where(~F.regexp_extract("tag", r"^/?([a-z0-9:-]+)", 1).isin(*sorted(_html.ELEMENTS)))
+        few = unknown.limit(most + 1).collect()
+        self.own = None
+        if len(few) > most:
+            few = unknown.where(F.col("host") == ANY_HOST).collect()
+            self.own = unknown.groupBy(F.col("host").alias("__host")).agg(F.concat_ws(" ", F.array_sort(F.collect_set("tag"))).alias("__tags"))
+        by_host: dict[str, list[str]] = {}
+        for r in few:
+            by_host.setdefault(r["host"], []).append(r["tag"])
+        self.sent = spark.sparkContext.broadcast({h: sorted(t) for h, t in by_host.items()})
+
+
+def clean_text(df: DataFrame, record_id: str, fields: dict[str, bool], deduced: Deduced, host: str | None = None, only_residue: bool = False) -> DataFrame:
     """field, record_id, text, families - one row for each value that isn't null.
 
     fields: column name to whether it is an HTML page, whose slots the template of
@@ -217,19 +240,12 @@ def clean_text(df: DataFrame, record_id: str, fields: dict[str, bool], template:
     values give an empty text; other columns are ignored.  With only_residue,
     values without residue give no row and text is null.
     """
-    spark = df.sparkSession
-    tags = template.select("host", F.explode("tags").alias("tag")).distinct()
     src = df.select(F.col(record_id).cast("bigint").alias("__id"), (F.lower(F.col(host).cast("string")) if host else F.lit(None).cast("string")).alias("__host"), *[F.col(f).cast("string").alias(f"__f{k}") for k, f in enumerate(fields)])
-    unknown = tags.where(~F.regexp_extract("tag", r"^/?([a-z0-9:-]+)", 1).isin(*sorted(_html.ELEMENTS)))
-    few = unknown.limit(MOST_SENT + 1).collect() if any(fields.values()) else []
-    if len(few) <= MOST_SENT:
-        sent = spark.sparkContext.broadcast({h: sorted({r["tag"] for r in few if r["host"] == h}) for h in {r["host"] for r in few}})
+    if deduced.own is None or not (host and any(fields.values())):
         src = src.withColumn("__tags", F.lit(None).cast("string"))
-    else:  # too many to send: each host's tags meet its pages in a join
-        # A host without tags of its own takes those of all hosts, as above.
-        sent = spark.sparkContext.broadcast({ANY_HOST: sorted(r["tag"] for r in unknown.where(F.col("host") == ANY_HOST).collect())})
-        own = unknown.groupBy(F.col("host").alias("__host")).agg(F.concat_ws(" ", F.array_sort(F.collect_set("tag"))).alias("__tags"))
-        src = src.join(own, "__host", "left").select("__id", "__host", *[f"__f{k}" for k in range(len(fields))], "__tags")
+    else:  # each host's tags meet its pages; a host without tags of its own takes those of all hosts, as below
+        src = src.join(deduced.own, "__host", "left").select("__id", "__host", *[f"__f{k}" for k in range(len(fields))], "__tags")
+    sent = deduced.sent
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
         ids, hosts, listed = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2 + len(fields)).to_pylist()
@@ -261,10 +277,10 @@ def clean_text(df: DataFrame, record_id: str, fields: dict[str, bool], template:
 
 def _parts(spark: SparkSession, sf_dir: str, only_residue: bool) -> DataFrame:
     m = load(spark, sf_dir, "messages").withColumn("__sender_host", F.regexp_extract("sender_addr", r"@(.+)$", 1))
-    template = templates(token_statistics(m, "message_id", "__sender_host", "html")).persist()
-    out = clean_text(m, "message_id", {"html": True}, template, "__sender_host", only_residue)
-    out = out.unionByName(clean_text(load(spark, sf_dir, "message_extracts"), "message_id", {"extracted_html": True}, template, None, only_residue))
-    return out.unionByName(clean_text(load(spark, sf_dir, "attachment_results"), "attachment_id", {"extraction": False}, template, None, only_residue))
+    deduced = Deduced(templates(token_statistics(m, "message_id", "__sender_host", "html")))
+    out = clean_text(m, "message_id", {"html": True}, deduced, "__sender_host", only_residue)
+    out = out.unionByName(clean_text(load(spark, sf_dir, "message_extracts"), "message_id", {"extracted_html": True}, deduced, None, only_residue))
+    return out.unionByName(clean_text(load(spark, sf_dir, "attachment_results"), "attachment_id", {"extraction": False}, deduced, None, only_residue))
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,5 @@
 from lettermill.llm import markup
-from lettermill.llm.markup import clean, clean_text, residue, slots, templates, token_statistics
+from lettermill.llm.markup import Deduced, clean, clean_text, residue, roles, slots, templates, token_statistics
 
 
 def test_families():
@@ -32,25 +32,31 @@ def test_frame(spark):
     template = templates(token_statistics(df, "message_id", "host", "html"))
     own = {tuple(r.tags) for r in template.where("host = 'h.test'").collect()}
     assert any({"x:frame", "/x:frame", "html", "/html"} <= set(t) for t in own)
-    got = {r.record_id: r for r in clean_text(df, "message_id", {"html": True}, template, "host").collect()}
+    got = {r.record_id: r for r in clean_text(df, "message_id", {"html": True}, Deduced(template), "host").collect()}
     # The host's own tags are template and go; a name in angle brackets elsewhere is text.
     assert got[0].text.split() == ["menu", "text", "0"] and got[200].families == ["html"] and got[202].text == "" and got[None].text == "<jonas> said 'hi'" and 201 not in got
-    assert {r.record_id for r in clean_text(df, "message_id", {"html": True}, template, "host", True).collect()} == {200}
-    assert clean_text(df.limit(0), "message_id", {"html": True}, templates(token_statistics(df.limit(0), "message_id", "host", "html")), "host").collect() == []
-    plain = clean_text(df.where("message_id = 200"), "message_id", {"html": False}, template).first()
+    assert {r.record_id for r in clean_text(df, "message_id", {"html": True}, Deduced(template), "host", True).collect()} == {200}
+    assert clean_text(df.limit(0), "message_id", {"html": True}, Deduced(templates(token_statistics(df.limit(0), "message_id", "host", "html"))), "host").collect() == []
+    plain = clean_text(df.where("message_id = 200"), "message_id", {"html": False}, Deduced(template)).first()
     assert plain.families == ["html"]
 
 
-def test_joined_templates_are_the_sent_ones(spark, monkeypatch):
+def test_joined_templates_are_the_sent_ones(spark):
     rows = [(i, "h.test", PAGE.format("menu", f"text {i}")) for i in range(6)] + [(100, "g.test", "<x:frame>own</x:frame>"), (101, None, "<x:frame>none</x:frame>")]
     df = spark.createDataFrame(rows, "message_id bigint, host string, html string")
     # Over all hosts the tag stands in a class of its own.
     template = templates(token_statistics(df, "message_id", "host", "html")).persist()
 
-    def texts(host):
-        return {r.record_id: r.text for r in clean_text(df, "message_id", {"html": True}, template, host).collect()}
+    def texts(host, most):
+        return {r.record_id: r.text for r in clean_text(df, "message_id", {"html": True}, Deduced(template, most), host).collect()}
 
-    sent = texts("host"), texts(None)
-    monkeypatch.setattr(markup, "MOST_SENT", 0)
-    joined = texts("host"), texts(None)
+    sent = texts("host", 100), texts(None, 100)
+    joined = texts("host", 0), texts(None, 0)
     assert joined == sent and all("x:frame" not in t for x in joined for t in x.values())
+
+
+def test_deep_pages():
+    deep = "<div>" * 20_000 + "x" + "</div>" * 20_000 + "</p>"
+    counts, good = roles(deep)
+    assert counts[("div", "div")] == 19_999 and counts[("/div", "")] == 1 and not good
+    assert slots(deep).strip() == "x"
