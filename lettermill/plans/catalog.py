@@ -87,7 +87,7 @@ def html_visible(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: The tables call untyped pages that sniffing finds html; sniffing knows only text.  They are counted apart.
-_SNIFFED_PAGE = F.coalesce((F.col("routed_by") == "sniff") & (F.col("kind") == "text") & F.col("page"), F.lit(False))
+_SNIFFED_PAGE = "coalesce(routed_by = 'sniff' AND kind = 'text' AND page, false)"
 
 
 def _routed(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +97,7 @@ def _routed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def route_detect(spark: SparkSession, d: str) -> DataFrame:
-    return _routed(spark, d).where(~_SNIFFED_PAGE).select("attachment_id", "kind", "routed_by")
+    return _routed(spark, d).where(f"NOT {_SNIFFED_PAGE}").select("attachment_id", "kind", "routed_by")
 
 
 def route_exceptions(spark: SparkSession, d: str) -> DataFrame:
@@ -115,19 +115,19 @@ def _results(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: The tables let some transfers fail that broke off within a text; the bytes that came are sound text.  They are counted apart.
-_BROKEN_OFF = F.coalesce(F.col("reason_told") == "unexpected end of input", F.lit(False))
+_BROKEN_OFF = "coalesce(reason_told = 'unexpected end of input', false)"
 
 
 def attach_status(spark: SparkSession, d: str) -> DataFrame:
     """Status and reason; the tables give reasons of broken archives without the opening words."""
     got = A.extract_attachments(table(spark, d, "attachments")).join(_results(spark, d), "attachment_id")
-    return got.where(~_BROKEN_OFF).select("attachment_id", "status", F.regexp_replace("reason", "^malformed zip: ", "").alias("reason"))
+    return got.where(f"NOT {_BROKEN_OFF}").select("attachment_id", "status", F.regexp_replace("reason", "^malformed zip: ", "").alias("reason"))
 
 
 def attach_exceptions(spark: SparkSession, d: str) -> DataFrame:
     """How many files ``attach_status`` leaves out: their text is read as far as it came."""
     got = A.extract_attachments(table(spark, d, "attachments")).join(_results(spark, d), "attachment_id")
-    return got.where(_BROKEN_OFF & (F.col("status") == "extracted")).agg(F.count("*").alias("n_broken_off"))
+    return got.where(f"{_BROKEN_OFF} AND status = 'extracted'").agg(F.count("*").alias("n_broken_off"))
 
 
 def _of_kind(spark: SparkSession, d: str, *kinds: str) -> DataFrame:
