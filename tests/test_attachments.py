@@ -1,5 +1,7 @@
 """Routing, charsets, archive preflight, parsers and the result contract."""
 
+import base64
+import hashlib
 import io
 import random
 import struct
@@ -12,7 +14,7 @@ import pytest
 from lettermill.functions import archive
 from lettermill.functions import registry as R
 from lettermill.functions.charset import decode
-from lettermill.functions.parsers import html_text
+from lettermill.functions.parsers import _PAD, _rc4, glyph, html_text, pdf_text
 from lettermill.functions.routing import detect_route, readable_utf16
 from lettermill.operators.attachments import HandlerTimeout, cap, detect_route_udf, extract_attachments, extract_one, routes, time_limit
 
@@ -288,3 +290,69 @@ def test_detected_charsets(charset):
 @pytest.mark.parametrize("name", ["rot13", "base64", "idna", "no-such-set", "", None])
 def test_names_that_are_no_charsets(name):
     assert decode("für".encode("cp1252"), name) == "für"
+
+
+def _lzw_of(data):
+    """Codes of nine bits, the table cleared before they grow."""
+    codes = [256]
+    for k, x in enumerate(data):
+        if k and k % 200 == 0:
+            codes.append(256)
+        codes.append(x)
+    bits = "".join(f"{c:09b}" for c in [*codes, 257])
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+
+
+def _run_lengths(data):
+    out = b""
+    for k in range(0, len(data), 100):
+        part = data[k : k + 100]
+        out += bytes([len(part) - 1]) + part
+    return out + b"\x80"
+
+
+SHOWN = b"BT /F1 12 Tf 72 700 Td (First line) Tj 0 -14 Td (Second line) Tj ET"
+FILTERED = {
+    b"/ASCIIHexDecode": SHOWN.hex().encode() + b">",
+    b"/ASCII85Decode": base64.a85encode(SHOWN) + b"~>",
+    b"/RunLengthDecode": _run_lengths(SHOWN),
+    b"/LZWDecode": _lzw_of(SHOWN),
+    b"[/ASCII85Decode /FlateDecode]": base64.a85encode(zlib.compress(SHOWN)) + b"~>",
+    b"/FlateDecode/DecodeParms<</Predictor 12/Columns 8>>": zlib.compress(b"".join(b"\x00" + SHOWN.ljust(72)[k : k + 8] for k in range(0, 72, 8))),
+}
+
+
+def _pdf_of(head, stream, more=b"", font=b""):
+    return b"%%PDF-1.4\n1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj\n2 0 obj<</Type/Pages/Kids[3 0 R]/Count 1>>endobj\n3 0 obj<</Type/Page/Parent 2 0 R/Contents 4 0 R%s>>endobj\n4 0 obj<<%s/Length %d>>stream\n%s\nendstream endobj\n%s%%%%EOF" % (font, head, len(stream), stream, more)
+
+
+@pytest.mark.parametrize("name", FILTERED)
+def test_pdf_filters(name):
+    assert pdf_text(_pdf_of(b"/Filter" + name, FILTERED[name])).split() == ["First", "line", "Second", "line"]
+
+
+@pytest.mark.parametrize("revision", [2, 3])
+def test_pdf_that_an_empty_password_opens(revision):
+    owner, file_id, p, size = bytes(range(40, 72)), b"0123456789abcdef", -44, 5 if revision == 2 else 16
+    key = hashlib.md5(_PAD + owner + (p & 0xFFFFFFFF).to_bytes(4, "little") + file_id).digest()[:size]
+    if revision == 2:
+        user = _rc4(key, _PAD)
+    else:
+        for _ in range(50):
+            key = hashlib.md5(key).digest()[:size]
+        user = _rc4(key, hashlib.md5(_PAD + file_id).digest())
+        for k in range(1, 20):
+            user = _rc4(bytes(x ^ k for x in key), user)
+        user += bytes(16)
+    own = hashlib.md5(key + b"\4\0\0" + b"\0\0").digest()[: min(size + 5, 16)]
+    entry = b"5 0 obj<</Filter/Standard/V %d/R %d/Length %d/P %d/O<%s>/U<%s>>>endobj\ntrailer<</Encrypt 5 0 R/ID[<%s><%s>]>>\n" % (revision - 1, revision, size * 8, p, owner.hex().encode(), user.hex().encode(), file_id.hex().encode(), file_id.hex().encode())
+    assert pdf_text(_pdf_of(b"", _rc4(own, SHOWN), entry)).split("\n") == ["First line", "Second line"]
+    locked = entry.replace(user.hex().encode(), bytes(len(user)).hex().encode())
+    assert extract_one(_pdf_of(b"", _rc4(own, SHOWN), locked), None, "application/pdf") == ("failed", None, "encrypted pdf")
+
+
+def test_pdf_fonts_that_name_glyphs():
+    font = b"/Resources<</Font<</F1 6 0 R>>>>"
+    more = b"6 0 obj<</Type/Font/Encoding<</Differences[1/H/eacute/l/uni00F6 65/fi/quoteright]>>>>endobj\n"
+    assert pdf_text(_pdf_of(b"", b"BT /F1 12 Tf (\\001\\002\\003\\004AB) Tj ET", more, font)) == "Hélöfi’"
+    assert [glyph(x) for x in ("Zcaron", "Aring", "g123", "u1F600", "a.sc")] == ["Ž", "Å", "", "😀", "a"]
