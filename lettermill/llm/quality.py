@@ -338,19 +338,46 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ratios(quality_counts(load(spark, sf_dir, "documents"), "doc_id", "text"))
 
 
-def p10_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The statistics that SQL can express: all but the kind."""
-    return p10_statistics(spark, sf_dir).drop("kind")
+#: White space below TOP, as a class.
+_GAP = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}]"
 
 
-def ratios_sql() -> str:
-    """``p10_ratios`` over the table documents, by lists of words."""
-    space = r"[\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}]"
-    common = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(COMMON))
+def _quoted(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(words))
+
+
+def statistics_sql() -> str:
+    """``p10_statistics`` over the table documents: words as rows, then lines, then pages, with no chunk."""
+    def n(cls: str, c: str = "w") -> str:
+        """How many characters of a word are in a class."""
+        return f"(length({c}) - length(regexp_replace({c}, '[{cls}]', '', 'g')))"
+
+    esc = lambda chars: "".join(f"\\x{{{ord(c):X}}}" for c in chars)
+    has = lambda c, chars: f"regexp_matches({c}, '^[{esc(chars)}]$')"
+    vowels = "aeiouyäöüàâéèêëîïôùûœæáíóúąęаеёиоуыэюя"
+    mirrored = {w[::-1] for w in COMMON if len(w) > 1} - COMMON
     return rf"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, text, list_filter(string_split_regex(text, '{space}+'), lambda x: regexp_matches(x, '\p{{L}}')) AS words, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '{space}+$', '')), lambda x: x <> '') AS lines FROM d),
-c AS (SELECT doc_id, len(words) AS n_words, len(lines) AS n_lines, length(text) AS n_chars, length(regexp_replace(text, '\P{{L}}', '', 'g')) AS word_chars, length(regexp_replace(regexp_replace(text, '[\p{{L}}\p{{N}}]', '', 'g'), '{space}', '', 'g')) AS n_symbols,
-  len(list_filter(lines, lambda x: regexp_matches(x, '[.!?…:;]["'')\]”’»]?$'))) AS n_punct, len(list_filter(words, lambda x: lower(regexp_replace(x, '\P{{L}}', '', 'g')) IN ({common}))) AS n_common FROM w)
-SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CASE WHEN n_words > 0 THEN CAST(word_chars AS DOUBLE) / n_words END AS mean_word_length, CASE WHEN n_chars > 0 THEN CAST(n_symbols AS DOUBLE) / n_chars END AS symbol_ratio,
-  CASE WHEN n_lines > 0 THEN CAST(n_punct AS DOUBLE) / n_lines END AS punct_line_share, CASE WHEN n_words > 0 THEN CAST(n_common AS DOUBLE) / n_words END AS common_word_share FROM c"""
+WITH lines_ AS (SELECT doc_id, text, generate_subscripts(l, 1) AS ln, unnest(l) AS line FROM (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+bare AS (SELECT doc_id, ln, regexp_replace(regexp_replace(line, '^{_GAP}+', ''), '{_GAP}+$', '') AS line FROM lines_),
+split_ AS (SELECT doc_id, ln, string_split_regex(line, '{_GAP}+') AS ws, len(regexp_extract_all(line, '{_GAP}{{2,}}')) AS gaps FROM bare WHERE line <> ''),
+words_ AS (SELECT doc_id, ln, gaps, generate_subscripts(ws, 1) AS k, len(ws) AS nw, unnest(ws) AS w FROM split_),
+f AS (SELECT *, length(w) AS n, {n(r'\p{L}')} AS nl, {n(r'\p{Nd}')} AS nd, {n(esc(STRAY))} AS stray, left(w, 1) AS a, right(w, 1) AS z, CASE WHEN length(w) > 1 THEN left(right(w, 2), 1) ELSE '' END AS y, lower(regexp_replace(w, '\P{{L}}', '', 'g')) AS key FROM words_),
+g AS (SELECT *, (regexp_matches(a, '\p{{Nd}}') OR {has('a', '£$€+-')} AND nd > 0) AND nd > 0 AND nl <= 2 AND n - nl - nd <= 3 AND {n(esc([c for c in STRAY if c not in ':;/']))} = 0 AS number, regexp_matches(w, '^[{esc('.…,·-_')}]+$') AND n > 3 AS dots, {has('z', '.!?…:;')} AS fin, {has('z', chr(34) + "')]”’»")} AS shut FROM f),
+h AS (SELECT *, stray - CASE WHEN stray > 0 AND (fin OR shut) THEN 1 ELSE 0 END > 0 OR nd > 0 AND nl > 0 AND NOT number AS marred FROM g),
+t AS (SELECT *, nl > 1 AND regexp_matches(key, '[{vowels}]') AND NOT regexp_matches(key, '^(' || left(key, 1) || ')+$') AND NOT marred AND nl * 10 >= n * 6 AS legible, nl > 0 AS word, nl > 0 AND key NOT IN ({_quoted(SMALL)}) AS content FROM h),
+l AS (SELECT doc_id, ln, count(*) AS tokens, sum(n) AS chars, count(*) FILTER (WHERE number) AS numbers, count(*) FILTER (WHERE legible) AS legible, sum(CASE WHEN legible THEN n ELSE 0 END + CASE WHEN number THEN n ELSE 0 END) AS read, sum(CASE WHEN dots THEN n ELSE 0 END) AS dots,
+  sum({n(',;')}) AS commas, sum({n('|')}) + any_value(gaps) + sum(CASE WHEN dots THEN n ELSE 0 END) AS bars, count(*) FILTER (WHERE content) AS open, count(*) FILTER (WHERE content AND (regexp_matches(a, '\p{{Lu}}') OR {has('a', '0156')})) AS caps,
+  count(*) FILTER (WHERE marred AND n > 1) AS hurt, count(*) FILTER (WHERE n > 1 AND NOT number AND NOT dots) AS long, count(*) FILTER (WHERE word) AS words, sum(nl) AS letters, sum({n(r'^\p{L}\p{N}')}) AS symbols, count(*) FILTER (WHERE word AND key IN ({_quoted(COMMON)})) AS common, count(*) FILTER (WHERE word AND key IN ({_quoted(mirrored)})) AS mirrored,
+  bool_or(k = 1 AND (n <= 4 AND {has('z', '.)')} AND (nl = 0 AND nd > 0 OR nl = 1 AND nd = 0) OR n = 1 AND {has('a', '-*•·–—+')})) AS item, bool_or(k = nw AND {has('z', '-¬‐=')}) AS cut, bool_or(k = nw AND (fin OR shut AND {has('y', '.!?…:;')})) AS closing FROM t GROUP BY doc_id, ln),
+v AS (SELECT *, numbers >= 2 AND (numbers > legible OR bars > 0 AND numbers >= legible) AS value_row FROM l),
+j AS (SELECT *, read * 2 < chars - CASE WHEN numbers > 0 THEN dots ELSE 0 END AND NOT (numbers >= 3 AND numbers * 2 >= tokens) OR hurt * 10 >= long * 3 AND long >= 3 AND NOT value_row AS junk FROM v),
+r AS (SELECT *, NOT junk AND (value_row OR read * 2 < chars - dots) AS "table" FROM j),
+q AS (SELECT *, NOT junk AND NOT "table" AND (tokens > 1 AND tokens <= 14 AND item OR commas > 0 AND tokens BETWEEN 2 AND 10 AND open > 0 AND caps * 10 >= open * 8 AND open - 1 <= 2 * commas + 2 AND NOT cut) AS listed FROM r),
+c AS (SELECT d.doc_id, any_value(length(coalesce(d.text, ''))) AS n_chars, count(q.ln) AS n_lines, coalesce(sum(words), 0) AS n_words, coalesce(sum(letters), 0) AS letters, coalesce(sum(symbols), 0) AS symbols, count(*) FILTER (WHERE closing) AS n_punct, coalesce(sum(common), 0) AS common, coalesce(sum(mirrored), 0) AS mirrored,
+  count(*) FILTER (WHERE listed) AS n_list, count(*) FILTER (WHERE "table") AS n_table, count(*) FILTER (WHERE junk) AS n_junk FROM documents d LEFT JOIN q USING (doc_id) GROUP BY d.doc_id)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CASE WHEN n_words > 0 THEN CAST(letters AS DOUBLE) / n_words END AS mean_word_length, CASE WHEN n_chars > 0 THEN CAST(symbols AS DOUBLE) / n_chars END AS symbol_ratio, CASE WHEN n_lines > 0 THEN CAST(n_punct AS DOUBLE) / n_lines END AS punct_line_share,
+  CASE WHEN n_words > 0 THEN CAST(common AS DOUBLE) / n_words END AS common_word_share, CASE WHEN n_junk * 2 > n_lines OR mirrored > common AND mirrored > 3 THEN 'junk' WHEN n_table * 2 > n_lines THEN 'table' WHEN n_list * 2 > n_lines THEN 'list' ELSE 'prose' END AS kind FROM c"""
+
+
+def found_sql() -> str:
+    return f"SELECT DISTINCT doc_id, kind FROM ({statistics_sql()}) WHERE kind <> 'prose'"

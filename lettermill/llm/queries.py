@@ -18,10 +18,10 @@ QUERIES = {
     "language": ["p6_found", "p6_segments"],
     "leakage": ["p8_found", "p8_items"],
     "mixing": ["p9_mixture", "p9_shares"],
-    "quality": ["p10_found", "p10_statistics", "p10_ratios"],
+    "quality": ["p10_found", "p10_statistics"],
 }
 #: Module and function that give a query's SQL.
-SQL = {"p10_ratios": ("quality", "ratios_sql")}
+SQL = {"p10_found": ("quality", "found_sql"), "p10_statistics": ("quality", "statistics_sql")}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
