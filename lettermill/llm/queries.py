@@ -21,7 +21,7 @@ QUERIES = {
     "quality": ["p10_found", "p10_statistics"],
 }
 #: Module and function that give a query's SQL.
-SQL = {"p10_found": ("quality", "found_sql"), "p10_statistics": ("quality", "statistics_sql")}
+SQL = {"p2_found": ("unify", "found_sql"), "p10_found": ("quality", "found_sql"), "p10_statistics": ("quality", "statistics_sql")}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -199,8 +199,9 @@ def unify(values: list[str]) -> tuple[list[str], np.ndarray]:
             alone = at[~t["shared"][safe[at]]]
             own = np.bincount(word[alone] * N_SCRIPTS + script[alone], minlength=N_SCRIPTS * len(begin)).reshape(-1, N_SCRIPTS)
             main = (own * 1_000_000 + counts * N_SCRIPTS + np.array([0, *range(N_SCRIPTS - 1, 0, -1)])).argmax(1)
-            # Two letters alone, as in units, are no word.
-            mixed &= (counts.sum(1) > 2) & (counts[np.arange(len(counts)), main] > 1)
+            # Two letters alone, as in units, are no word, and one letter of another alphabet with Latin ones may be a formula's.
+            every = np.arange(len(counts))
+            mixed &= (counts.sum(1) > 2) & ((counts[every, main] > 1) | (main == LATIN) & (own[every, main] > 0))
             at = at[mixed[word[at]]]
             at = at[script[at] != main[word[at]]]
             to = t["alike"][main[word[at]], safe[at]]
@@ -254,3 +255,20 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     form = consistent_form(load(spark, sf_dir, "messages"), "message_id", {"text": False, "html": True})
     form = form.select("field", F.col("record_id").alias("message_id"), F.xxhash64("form").alias("form_hash"), "form", "reasons")
     return form.dropDuplicates(["field", "message_id", "form_hash", "reasons"])  # a repeated delivery is the same body
+
+
+def found_sql() -> str:
+    """``p2_found`` over the table messages, by patterns over whole values."""
+    cls = lambda codes: "".join(f"\\x{{{c:X}}}" for c in codes)
+    font = [c for c in range(0x2100, 0x2150) if unicodedata.decomposition(chr(c)).startswith("<font>") and unicodedata.normalize("NFKC", chr(c)).isalpha()]
+    styled = cls(font) + r"\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}\x{1D400}-\x{1D6C0}\x{1D6C2}-\x{1D6DA}\x{1D6DC}-\x{1D6FA}\x{1D6FC}-\x{1D7CB}"
+    ligature = r"\x{FB00}-\x{FB06}\x{FB13}-\x{FB17}\x{132}\x{133}\x{1C4}-\x{1CC}"
+    named = {"nbsp": 0xA0, "shy": 0xAD, "zwnj": 0x200C, "zwj": 0x200D, "ensp": 0x2002, "emsp": 0x2003, "thinsp": 0x2009, "lt": 60, "gt": 62, "amp": 38, "quot": 34}
+    told = "CASE " + " ".join(f"WHEN x = '&{n};' THEN chr({c})" for n, c in named.items()) + r" WHEN regexp_matches(x, '^&#[0-9]+;$') THEN chr(CAST(substr(x, 3, length(x) - 3) AS INTEGER)) WHEN regexp_matches(x, '^&#[xX][0-9A-Fa-f]+;$') THEN chr(CAST('0x' || substr(x, 4, length(x) - 4) AS INTEGER)) ELSE x END"
+    shown = rf"array_to_string(list_transform(regexp_extract_all(regexp_replace(regexp_replace(html, '<!--.*?-->|<(style|script|title)\b.*?</(style|script|title)\s*>', '', 'gis'), '</?[A-Za-z][^<>]*>', ' ', 'g'), '&#?[A-Za-z0-9]+;|[^&]+|&'), lambda x: {told}), '')"
+    return rf"""
+WITH seen AS (SELECT 'text' AS field, message_id, text AS v FROM messages WHERE text IS NOT NULL UNION ALL SELECT 'html', message_id, {shown} FROM messages WHERE html IS NOT NULL),
+plain AS (SELECT *, regexp_replace(v, '([\p{{L}}\p{{M}}])[{cls(INVISIBLES)}]+([\p{{L}}\p{{M}}])', '\1\2', 'g') AS w FROM seen)
+SELECT DISTINCT field, message_id FROM plain
+WHERE regexp_matches(v, '[{styled}{ligature}{cls(SPACES)}]') OR w <> v OR nfc_normalize(w) <> w
+  OR len(list_filter(regexp_extract_all(nfc_normalize(w), '[\p{{L}}\p{{M}}]{{3,}}'), lambda x: regexp_matches(x, '\p{{Latin}}') AND regexp_matches(x, '[\p{{Cyrillic}}\p{{Greek}}]') OR regexp_matches(x, '\p{{Cyrillic}}') AND regexp_matches(x, '\p{{Greek}}'))) > 0"""
