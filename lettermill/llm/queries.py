@@ -17,11 +17,11 @@ QUERIES = {
     "truncation": ["p7_found", "p7_rates"],
     "language": ["p6_found", "p6_segments"],
     "leakage": ["p8_found", "p8_items"],
-    "mixing": ["p9_mixture", "p9_shares"],
+    "mixing": ["p9_mixture", "p9_shares", "p9_promises"],
     "quality": ["p10_found", "p10_statistics"],
 }
 #: Module and function that give a query's SQL.
-SQL = {"p2_found": ("unify", "found_sql"), "p10_found": ("quality", "found_sql"), "p10_statistics": ("quality", "statistics_sql")}
+SQL = {"p2_found": ("unify", "found_sql"), "p9_promises": ("mixing", "promises_sql"), "p10_found": ("quality", "found_sql"), "p10_statistics": ("quality", "statistics_sql")}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,8 +1,9 @@
 import os
 
+import duckdb
 import pytest
 
-from lettermill.llm.queries import queries
+from lettermill.llm.queries import oracle_sql, queries
 
 DATA = "/root/testdata/sf0.001"
 COLUMNS = {
@@ -19,3 +20,17 @@ def test_query(spark, name):
     assert rows
     if name in COLUMNS:
         assert ", ".join(f"{a} {b}" for a, b in df.dtypes) == COLUMNS[name] and len(set(rows)) == len(rows)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_sql(spark, name):
+    con = duckdb.connect()
+    for f in os.listdir(DATA):
+        con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{DATA}/{f}')")
+    want = con.execute(oracle_sql()[name])
+    order = [c[0] for c in want.description]
+    got = queries()[name](spark, DATA)
+    key = lambda r: tuple(repr(r[c]) for c in sorted(order))
+    assert sorted(got.columns) == sorted(order)
+    assert sorted(key(r.asDict()) for r in got.collect()) == sorted(key(dict(zip(order, r))) for r in want.fetchall())
