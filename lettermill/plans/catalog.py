@@ -254,20 +254,25 @@ ends_ AS (SELECT message_id, max(n_solid) AS all_solid FROM under GROUP BY messa
 sign_ AS (SELECT m.message_id, coalesce(min(m.i) FILTER (WHERE coalesce(m.nxt_solid - 1, e.all_solid) - m.n_solid >= 2), max(m.i)) AS s FROM marks m JOIN ends_ e USING (message_id) GROUP BY m.message_id),
 new_ AS (SELECT x.message_id, CASE WHEN x.text = '' THEN NULL WHEN k.at IS NULL THEN {_trim('x.text')} ELSE {_trim("coalesce((SELECT string_agg(f.line, chr(10) ORDER BY f.i) FROM flag f WHERE f.message_id = x.message_id AND (f.i < k.at OR f.i >= g.s)), '')")} END AS new_text
   FROM texts x JOIN keep_ k USING (message_id) LEFT JOIN sign_ g USING (message_id))"""
-_BOUNCE = (
-    r"coalesce(regexp_matches(opening, '^[\s*]*(delivery (has )?failed|address not found|undelivered mail|mail delivery (failed|subsystem)|delivery status notification|message not delivered|your message\b[^\n]{0,80}?(wasn''?t|couldn''?t be|could not be) delivered|returned mail|message blocked|this is the mail system|this message was created automatically by mail|i''?m sorry to have to inform you|could not be delivered)', 'i')"
-    r" OR regexp_matches(opening, '^(reporting-mta:|final-recipient:|original-recipient:|diagnostic-code:|action:\s*failed|status:\s*[45]\.\d)', 'i') OR regexp_matches(opening, '\brejected your message\b', 'i'), false)"
-)
+#: How bounces open, by headline, by field, and anywhere in the line; and what marks boilerplate at the beginning of a line or within it.
+_HEADLINES = (
+    "delivery (has )?failed", "address not found", "undelivered mail", "mail delivery (failed|subsystem)", "delivery status notification", "message not delivered", "returned mail", "message blocked", "this is the mail system",
+    "this message was created automatically by mail", "i''?m sorry to have to inform you", "could not be delivered", r"your message\b[^\n]{0,80}?(wasn''?t|couldn''?t be|could not be) delivered",
+)
+_FIELDS = ("reporting-mta:", "final-recipient:", "original-recipient:", "diagnostic-code:", r"action:\s*failed", r"status:\s*[45]\.\d")
+_LINE_BEGINS = ("sent from (my |outlook|mail|yahoo|samsung)", r"get outlook for (ios|android)\b", r"\s*your personal data\b")
+_LINE_HOLDS = (
+    r"\bview (this email|it|this)?\s*in (your )?(web )?browser\b", r"\byou(''re| are) receiving this (e-?mail|message|because)\b", r"\byou received this (e-?mail|message)\b", r"\bmanage (your )?(email )?(preferences|subscription)\b",
+    "to unsubscribe", r"unsubscribe (here|from this|at any|below|now)\b", r"click [^\n]{0,25}\bunsubscribe\b", r"\bunsubscribe\b[^\n]{0,40}(https?://|www\.)",
+    r"\bthis (e-?mail|email|message|communication)\b[^.\n]{0,60}\b(confidential|privileged)\b", r"\bconfidentiality (notice|statement|warning)\b", r"\bif you are not the intended recipient\b",
+    r"\b(intended|designated) (solely|only) for\b", r"\bthis (e-?mail|email|message) is not secure\b", r"\b(do not|don''?t) print this (e-?mail|email|message)\b",
+)
+_BOUNCE = rf"coalesce(regexp_matches(opening, '^[\s*]*({'|'.join(_HEADLINES)})', 'i') OR regexp_matches(opening, '^({'|'.join(_FIELDS)})', 'i') OR regexp_matches(opening, '\brejected your message\b', 'i'), false)"
+_NOISE_RE = f"^({'|'.join(_LINE_BEGINS)})|{'|'.join(_LINE_HOLDS)}"
 #: An attribution glued to a reply, as the corpus has them: opener, date, address and verb in this order (no look-ahead in this dialect).
 _GLUE = (
     r"regexp_replace(text, '([^\r\n>])[ \t]+((On|Le|Il|W dniu|Op|Am|P[åÅ]|Den|Em|El|V[àÀ]o|في)\s[^\r\n]{0,160}(20\d\d|\d{1,2}:\d{2})[^\r\n]{0,160}@[^\s@<>]+\.[^\s@<>]+[^\r\n]{0,40}(wrote|sent|a [éÉ]crit|escribi[óÓ]|ha scritto|escreveu|schrieb|schreef|geschreven|verzond|skrev|napisa[łŁ]|написал|كتب)\s*:)', '\1' || chr(10) || '\2', 'gi')"
 )
-_NOISE_RE = (
-    r"^sent from (my |outlook|mail|yahoo|samsung)|^get outlook for (ios|android)\b|\bview (this email|it|this)?\s*in (your )?(web )?browser\b|\byou(''re| are) receiving this (e-?mail|message|because)\b|\byou received this (e-?mail|message)\b|\bmanage (your )?(email )?(preferences|subscription)\b"
-    r"|to unsubscribe|unsubscribe (here|from this|at any|below|now)\b|click [^\n]{0,25}\bunsubscribe\b|\bunsubscribe\b[^\n]{0,40}(https?://|www\.)|\bthis (e-?mail|email|message|communication)\b[^.\n]{0,60}\b(confidential|privileged)\b|\bconfidentiality (notice|statement|warning)\b"
-    r"|\bif you are not the intended recipient\b|\b(intended|designated) (solely|only) for\b|\bthis (e-?mail|email|message) is not secure\b|\b(do not|don''?t) print this (e-?mail|email|message)\b|^\s*your personal data\b"
-)
-
 
 _TOLD = "told AS (SELECT attachment_id, any_value(status) AS status, any_value(extraction) AS extraction, any_value(reason) AS reason FROM attachment_results GROUP BY attachment_id)"
 #: What a page shows, white space aside: hidden parts and tags off, references resolved.
