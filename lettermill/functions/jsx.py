@@ -6,6 +6,8 @@ line ends, and lengths count code points.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,11 +49,11 @@ def first_position(c: Column, text: str) -> Column:
 
 
 def holds_any(low: Column, words: tuple[str, ...]) -> Column:
-    """Whether a lower-case text holds one of some literals: a plain byte search, as a gate before patterns."""
-    out = low.contains(words[0])
-    for w in words[1:]:
-        out = out | low.contains(w)
-    return out
+    """Whether a lower-case text holds one of some literals: a plain byte search, as a gate before patterns.
+
+    The text is computed once: in a chain of alternatives, each would compute it anew.
+    """
+    return let(low, lambda x: reduce(lambda a, b: a | b, [x.contains(w) for w in words]))
 
 
 def holds_all(low: Column, words: tuple[str, ...]) -> Column:

@@ -22,7 +22,7 @@ DSN_HEADLINES = (
 )
 DSN_PHRASE = "rejected your message"
 #: In lower case, what any of the above has.
-DSN_HINTS = ("deliver", "address not found", "undelivered", "returned mail", "message blocked", "this is the mail system", "created automatically by mail", "sorry to have to inform you", "-mta:", "-recipient:", "diagnostic-code", "action:", "status:", "rejected your message")
+DSN_HINTS = ("delivery failed", "delivery has failed", "mail delivery", "delivery status", "delivered", "address not found", "undelivered", "returned mail", "message blocked", "this is the mail system", "created automatically by mail", "sorry to have to inform you", "-mta:", "-recipient:", "diagnostic-code", "action:", "status:", "rejected your message")
 FORWARD_LINE = "(?i)^(?:-+<s>*forwarded message<s>*-+|begin forwarded message:?)<s>*<$>"
 FORWARD_HTML = "(?i)-+<s>*forwarded message<s>*-+|begin forwarded message:"
 PASTED_FORWARD = "(?i)^(?:fw|fwd):<s>*<S>"
