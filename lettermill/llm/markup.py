@@ -1,30 +1,29 @@
 """Markup residue in text documents (problem 1).
 
-Templates are deduced from pages of one host.  A token is a tag with its role
-(name, class or id, name of its parent); its occurrence vector says how often it
-stands on each page of the host.  Vectors are compared by fingerprint, a sum over
-pages of a hash of page and count, so equal vectors need no vector in one place:
-it is a plain aggregation that combines before it shuffles.  Tokens with the same
-vector form an equivalence class; classes with opening and closing tags, on pages
-that mostly nest well, make up the host's template.
-
-Pages are not parted at the template's tags, nor are classes nested by the places
-of their tokens: rendering replaces that.  What counts is what a reader sees, and
-there marks go on over tags within a line, which slots would part.  Of the classes
-only tags that HTML doesn't know are used, to take them off like its own.  The
-rendered page is taken out as lines, with headings, lists, code and formulas kept,
-and what still looks like markup in it is residue, of family html, markdown, wiki
-or latex.
+Templates are deduced from pages of one host.  A token is a tag with its role: its name,
+class or id, and the path of tags that it stands in.  Its occurrence vector says how often it
+stands on each page of the host.  Vectors are compared by fingerprint, a sum over pages of a
+hash of page and count, so equal vectors need no vector in one place: it is a plain
+aggregation that combines before it shuffles.  Tokens with the same vector form an
+equivalence class, in the order of their places.  A class is valid if its tags open and
+close on pages that mostly nest well, and if all its outermost tokens stand in one other
+class or in none: that class is its parent, and the valid classes of a host are a tree, its
+template.  As the path is part of the token, the parent's span holds the class on every page.
+
+Pages are not parted into slots at the template's tags: rendering replaces that.  What counts
+is what a reader sees, and there marks go on over tags within a line, which slots would part.
+Of the classes only tags that HTML doesn't know are used, to take them off like its own.  The
+rendered page is taken out as lines, with headings, lists, code and formulas kept, and what
+still looks like markup in it is residue, of family html, markdown, wiki or latex.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
-import zlib
 
-import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,73 +40,93 @@ _ATTR = re.compile(r"\b(?:class|id)\s*=\s*[\"']?([\w-]+)", re.I)
 _VOID = frozenset(("br", "hr", "img", "meta", "link", "input", "col", "wbr"))
 
 
-def roles(value: str) -> tuple[dict[tuple[str, str], int], bool]:
-    """Counts of tag tokens (tag with sign, role), and whether tags nest."""
-    out: dict[tuple[str, str], int] = {}
-    stack: list[str] = []
+def inside(path: int, tag: str) -> int:
+    """The path of what stands in a tag that stands at a path."""
+    return xxhash.xxh3_64_intdigest(tag.encode(), path) >> 2
+
+
+def roles(value: str) -> tuple[dict[tuple[str, int], list[int]], bool]:
+    """Of each tag token (tag with sign, path): count and first place; and whether tags nest."""
+    out: dict[tuple[str, int], list[int]] = {}
+    stack: list[tuple[str, int]] = []  # name, path of what stands in it
     opened: dict[str, int] = {}
     good = True
-    for m in _html.TAG.finditer(_html.HIDDEN.sub("", value)):
+    for n, m in enumerate(_html.TAG.finditer(_html.HIDDEN.sub("", value))):
         name = m[2].lower()
         mark = _ATTR.search(m[3]) if m[3] else None
         if m[1]:
             if opened.get(name):
-                while (top := stack.pop()) != name:
+                while (top := stack.pop()[0]) != name:
                     opened[top] -= 1
                 opened[name] -= 1
             else:
                 good = False
-            key = ("/" + name, stack[-1] if stack else "")
+            key = ("/" + name, stack[-1][1] if stack else 0)
         else:
-            key = (name + ("." + mark[1] if mark else ""), stack[-1] if stack else "")
+            key = (name + ("." + mark[1] if mark else ""), stack[-1][1] if stack else 0)
             if name not in _VOID and not m[0].endswith("/>"):
-                stack.append(name)
+                stack.append((name, inside(key[1], key[0])))
                 opened[name] = opened.get(name, 0) + 1
-        out[key] = out.get(key, 0) + 1
+        out.setdefault(key, [0, n])[0] += 1
     return out, good
 
 
 def token_statistics(df: DataFrame, page: str, host: str, value: str) -> DataFrame:
-    """host, tag, role, vector (fingerprint), pages, nested - of every tag token of every host, and of all hosts together."""
+    """host, tag, path, vector (fingerprint), pages, nested, places (sum of first places) - of every tag token of every host, and of all hosts together."""
     src = df.select(F.xxhash64(F.col(page)).alias("p"), F.coalesce(F.lower(F.col(host).cast("string")), F.lit("")).alias("h"), F.col(value).cast("string").alias("v")).where("v is not null")
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
         acc: dict[tuple, list[int]] = {}
         for p, h, v in zip(*(batch.column(k).to_pylist() for k in range(3))):
             counts, good = roles(v)
-            for (tag, role), n in counts.items():
+            for (tag, path), (n, first) in counts.items():
                 mark = (p * 0x9E3779B97F4A7C15 + n * 0xC2B2AE3D27D4EB4F) & ((1 << 64) - 1)
                 mark = ((mark ^ (mark >> 29)) * 0xBF58476D1CE4E5B9) & _MASK
                 for where in (h, ANY_HOST):
-                    a = acc.setdefault((where, tag, role), [0, 0, 0])
+                    a = acc.setdefault((where, tag, path), [0, 0, 0, 0])
                     a[0] = (a[0] + mark) & _MASK
                     a[1] += 1
                     a[2] += good
+                    a[3] += first
         keys = list(acc)
-        return {"host": [k[0] for k in keys], "tag": [k[1] for k in keys], "role": [k[2] for k in keys], "vector": [acc[k][0] for k in keys], "pages": [acc[k][1] for k in keys], "nested": [acc[k][2] for k in keys]}
+        values = list(zip(*acc.values())) or [()] * 4
+        return {"host": [k[0] for k in keys], "tag": [k[1] for k in keys], "path": [k[2] for k in keys]} | dict(zip(("vector", "pages", "nested", "places"), values))
 
-    part = map_batches(src, run, "host string, tag string, role string, vector bigint, pages bigint, nested bigint")
+    part = map_batches(src, run, "host string, tag string, path bigint, vector bigint, pages bigint, nested bigint, places bigint")
     # Sums of fingerprints wrap round; as decimals they don't, and are taken modulo 2**62 after.
     total = F.sum(F.col("vector").cast("decimal(38,0)"))
-    return part.groupBy("host", "tag", "role").agg((total % F.lit(1 << 62).cast("decimal(38,0)")).cast("bigint").alias("vector"), F.sum("pages").alias("pages"), F.sum("nested").alias("nested"))
+    return part.groupBy("host", "tag", "path").agg((total % F.lit(1 << 62).cast("decimal(38,0)")).cast("bigint").alias("vector"), *[F.sum(c).alias(c) for c in ("pages", "nested", "places")])
 
 
 def templates(stats: DataFrame, least: int = LEAST_PAGES) -> DataFrame:
-    """host, class_id, tags (sorted array) of the valid equivalence classes.
+    """host, class_id, parent_id (null: none), pages, tags (in the order of their places) of the valid equivalence classes.
 
-    Valid: on ``least`` pages or more, two tokens or more, and as many closing tags
-    as there are opening ones of their names (void elements need none).
+    Valid: on ``least`` pages or more, two tokens or more, as many closing tags as there are
+    opening ones of their names (void elements need none), and nested in one class or in none.
     """
     name = F.regexp_extract("tag", r"^/?([a-z0-9:-]+)", 1)
+    closes = F.col("tag").startswith("/")
+    token = F.struct((F.col("places") / F.col("pages")).alias("place"), "tag", "path")
     classes = stats.where(F.col("pages") >= least).groupBy("host", "vector", "pages").agg(
-        F.array_sort(F.collect_set("tag")).alias("tags"),
+        F.array_sort(F.collect_set(token)).alias("tokens"),
         F.count("*").alias("n"),
-        F.sum(F.when(F.col("tag").startswith("/"), 1).otherwise(0)).alias("n_close"),
-        F.sum(F.when(~F.col("tag").startswith("/") & ~name.isin(*sorted(_VOID)), 1).otherwise(0)).alias("n_open"),
+        F.sum(F.when(closes, 1).otherwise(0)).alias("n_close"),
+        F.sum(F.when(~closes & ~name.isin(*sorted(_VOID)), 1).otherwise(0)).alias("n_open"),
         F.min(F.col("nested") * 10 >= F.col("pages") * 8).alias("nests"),
     )
-    valid = classes.where((F.col("n") >= 2) & (F.col("n_close") >= 1) & (F.col("n_open") >= 1) & F.col("nests"))
-    return valid.select("host", F.col("vector").alias("class_id"), "pages", "tags")
+    sound = classes.where((F.col("n") >= 2) & (F.col("n_close") >= 1) & (F.col("n_open") >= 1) & F.col("nests"))
+
+    def enter(batch: pa.RecordBatch) -> dict[str, list]:
+        host, vector, tag, path = (batch.column(k).to_pylist() for k in range(4))
+        return {"host": host, "class_id": vector, "path": path, "inner": [inside(p, t) for p, t in zip(path, tag)]}
+
+    tokens = sound.select("host", "vector", F.explode("tokens").alias("t")).select("host", "vector", "t.tag", "t.path")
+    spans = map_batches(tokens.where(~F.col("tag").startswith("/")), enter, "host string, class_id bigint, path bigint, inner bigint")
+    holders = spans.select("host", F.col("inner").alias("path"), F.col("class_id").alias("holder"))
+    # A class may hold tokens of its own within others of its own; another class that holds them is its parent.
+    nest = spans.join(holders, ["host", "path"], "left").groupBy("host", "class_id").agg(F.collect_set(F.when(F.col("holder") != F.col("class_id"), F.col("holder"))).alias("parents"))
+    valid = sound.withColumnRenamed("vector", "class_id").join(nest, ["host", "class_id"]).where(F.size("parents") <= 1)
+    return valid.select("host", "class_id", F.get("parents", F.lit(0)).alias("parent_id"), "pages", F.col("tokens.tag").alias("tags"))
 
 
 _UNKNOWN = re.compile(r"^/?([a-z][a-z0-9:-]*)")
@@ -292,6 +311,6 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The template classes of each host, with the pages they stand on."""
+    """The template of each host: its classes, each with the one it stands in, its pages and its tags in order."""
     m = load(spark, sf_dir, "messages").withColumn("__sender_host", F.regexp_extract("sender_addr", r"@(.+)$", 1))
-    return templates(token_statistics(m, "message_id", "__sender_host", "html")).select("host", "class_id", "pages", F.concat_ws(" ", "tags").alias("tags"))
+    return templates(token_statistics(m, "message_id", "__sender_host", "html")).select("host", "class_id", "parent_id", "pages", F.concat_ws(" ", "tags").alias("tags"))

@@ -58,5 +58,14 @@ def test_joined_templates_are_the_sent_ones(spark):
 def test_deep_pages():
     deep = "<div>" * 20_000 + "x" + "</div>" * 20_000 + "</p>"
     counts, good = roles(deep)
-    assert counts[("div", "div")] == 19_999 and counts[("/div", "")] == 1 and not good
+    assert len(counts) == 40_001 and counts[("div", 0)] == [1, 0] and counts[("/div", 0)] == [1, 39_999] and not good
     assert slots(deep).strip() == "x"
+
+
+def test_classes_nest(spark):
+    page = "<x:page><x:head>h{0}</x:head><ul>{1}</ul><x:foot/></x:page>"
+    rows = [(i, "h.test", page.format(i, "".join(f"<li>{k}</li>" for k in range(i % 3 + 1)))) for i in range(9)]
+    df = spark.createDataFrame(rows, "message_id bigint, host string, html string")
+    got = {tuple(r.tags): r for r in templates(token_statistics(df, "message_id", "host", "html")).where("host = 'h.test'").collect()}
+    whole, item = got["x:page", "x:head", "/x:head", "ul", "/ul", "x:foot", "/x:page"], got["li", "/li"]
+    assert whole.parent_id is None and item.parent_id == whole.class_id and whole.pages == item.pages == 9
