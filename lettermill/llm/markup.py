@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _html
-from ._batch import load, map_batches
+from ._batch import cut_lineage, load, map_batches
 
 #: Pages of a host that a class must stand on; tag tokens of templates that go to all tasks, above that number they are joined.
 LEAST_PAGES, MOST_SENT = 3, 200_000
@@ -296,7 +296,7 @@ def clean_text(df: DataFrame, record_id: str, fields: dict[str, bool], deduced:
 
 def _parts(spark: SparkSession, sf_dir: str, only_residue: bool) -> DataFrame:
     m = load(spark, sf_dir, "messages").withColumn("__sender_host", F.regexp_extract("sender_addr", r"@(.+)$", 1))
-    deduced = Deduced(templates(token_statistics(m, "message_id", "__sender_host", "html")))
+    deduced = Deduced(templates(cut_lineage(token_statistics(m, "message_id", "__sender_host", "html"))))
     out = clean_text(m, "message_id", {"html": True}, deduced, "__sender_host", only_residue)
     out = out.unionByName(clean_text(load(spark, sf_dir, "message_extracts"), "message_id", {"extracted_html": True}, deduced, None, only_residue))
     return out.unionByName(clean_text(load(spark, sf_dir, "attachment_results"), "attachment_id", {"extraction": False}, deduced, None, only_residue))
@@ -313,4 +313,4 @@ def p1_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The template of each host: its classes, each with the one it stands in, its pages and its tags in order."""
     m = load(spark, sf_dir, "messages").withColumn("__sender_host", F.regexp_extract("sender_addr", r"@(.+)$", 1))
-    return templates(token_statistics(m, "message_id", "__sender_host", "html")).select("host", "class_id", "parent_id", "pages", F.concat_ws(" ", "tags").alias("tags"))
+    return templates(cut_lineage(token_statistics(m, "message_id", "__sender_host", "html"))).select("host", "class_id", "parent_id", "pages", F.concat_ws(" ", "tags").alias("tags"))
