@@ -26,13 +26,15 @@ from pyspark.sql import functions as F
 from ..functions.charset import decode
 from ..functions.parsers import html_text
 from ..functions.routing import detect_route
-from ._batch import load, map_batches
+from ._batch import cut_lineage, load, map_batches
 from .unify import code_points
 
 #: Encodings that text is wrongly read in, and its own ones.
 WRONG = ("cp1252", "cp437", "mac_roman", "cp1251", "koi8_r", "cp866", "cp850", "cp1250", "iso8859_2", "mac_cyrillic", "latin_1", "iso8859_5")
 RIGHT = ("utf_8", "cp1251", "cp1252", "koi8_r", "cp1250", "iso8859_2", "cp437", "cp850", "cp866", "mac_roman", "mac_cyrillic", "iso8859_5")
 LEVEL, GAIN, SHRINK = 4.6, 3.0, 0.02
+#: Ids (8 bytes each) that are sent to all tasks.
+MOST_SENT = 1_000_000
 _RANGES = ((0, 0x180), (0x2C0, 0x2E0), (0x370, 0x530), (0x2000, 0x2070), (0x20A0, 0x20D0), (0x2100, 0x2150), (0x2190, 0x2320), (0x2500, 0x2600), (0xFB00, 0xFB07), (0xFFFD, 0xFFFE))
 K = sum(b - a for a, b in _RANGES) + 2
 
@@ -307,7 +309,11 @@ def from_content(found: DataFrame, files: DataFrame, record_id: str, content: st
     type declares; the result counts if it lost fewer characters and agrees with the
     text about it.  Such rows have the mapping "content".
     """
-    own = files.select(F.col(record_id).cast("bigint").alias("record_id"), F.col(content).cast("binary").alias("__b"), F.col(filename).cast("string").alias("__n"), F.col(content_type).cast("string").alias("__t")).dropDuplicates(["record_id"])
+    found = cut_lineage(found)  # read twice below
+    wanted = found.where("lost > 0 and record_id is not null").select("record_id").distinct()
+    own = files.select(F.col(record_id).cast("bigint").alias("record_id"), F.col(content).cast("binary").alias("__b"), F.col(filename).cast("string").alias("__n"), F.col(content_type).cast("string").alias("__t"))
+    # Only files that are asked for move: few ids are sent to them, many meet them in a join.
+    own = own.join(F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted, "record_id", "left_semi").dropDuplicates(["record_id"])
     hurt = found.where("lost > 0").join(own, "record_id", "left")
 
     def run(batch: pa.RecordBatch) -> dict[str, list]:
