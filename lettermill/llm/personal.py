@@ -14,14 +14,19 @@ bits.  A pair of capitalised words that the lexicon doesn't know is a candidate
 well where an address of the text has one of them: there only the skip edge decides.
 
 Potentials of nodes are set by hand, as there are no labels.  Those of edges are
-fitted to the corpus: over a bounded sample of texts, beliefs under the potentials
-set by hand give the joint frequency of labels at the ends of each kind of edge, and
-its logarithm over that of independent labels replaces them, shrunk by ``SHRINK``.
+fitted to the corpus: over all its texts, beliefs under the potentials set by hand
+give the joint frequency of labels at the ends of each kind of edge, and its logarithm
+over that of independent labels replaces them, shrunk by ``SHRINK``.  The tasks add
+frequencies up in whole units, so that their order and the partitions don't matter.
+Every edge counts, but together they weigh ``WEIGHT`` at most: node potentials are made
+for edges of that strength, and a corpus repeated ten times has the same potentials.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +41,8 @@ NONE, EMAIL, PHONE, IDNO, ADDRESS, PERSON = range(6)
 ROUNDS = 6
 #: Names that go to the tasks as hashes (8 bytes each), and bits of the table that is sent where there are more.
 MOST_NAMES, PLACES = 1 << 23, 1 << 28
-#: Texts, of so many characters at most, whose beliefs fit the potentials of edges; and the weight, in edges, of those set by hand.
-SAMPLE, SAMPLE_CHARS, SHRINK = 2_000, 20_000, 200.0
+#: The weight, in edges, of the potentials set by hand, and the most that all edges of a kind have against it; the units of an edge in which frequencies of labels are added.
+SHRINK, WEIGHT, UNIT = 200.0, 2_000.0, 1 << 24
 
 _W = r"[A-ZÀ-ÖØ-ÞĄĆĘŁŃÓŚŹŻА-ЯЁ][\w'’-]+"
 SCANNERS: list[tuple[int, re.Pattern]] = [
@@ -57,6 +62,10 @@ SCANNERS: list[tuple[int, re.Pattern]] = [
     (ADDRESS, re.compile(rf"\b(?:[Cc]alle|[Aa]venida|[Pp]laza|[Pp]aseo|[Cc]amino) +(?:(?:de +las|de +los|de +la|del|de) +)?{_W}(?: +{_W})*,? +(?:n\.?º *)?\d{{1,4}}[a-z]?\b")),
     (ADDRESS, re.compile(rf"\b(?:ul\.|al\.|pl\.|ulica|ул\.|улица|пр\.|проспект|пер\.) *(?:{_W} *){{1,3}},? *(?:д\. *|дом +)?\d{{1,4}}[a-zа-я]?(?:/\d+)?\b")),
 ]
+#: Ends of the German scanner's first word, and words of which the Spanish and the Polish and Russian one need one.
+_STREETS = ("straße", "strasse", "str.", "gasse", "weg", "allee", "platz", "ring", "damm", "ufer", "chaussee")
+_CALLES, _ULICAS = ("alle ", "venida ", "laza ", "aseo ", "amino "), ("ul.", "al.", "pl.", "ulica", "ул.", "улица", "пр.", "проспект", "пер.")
+_DIGITS = re.compile(r"\d\d*")
 #: What an address has beside its @, looked for from there outwards.
 _LOCAL, _DOMAIN = re.compile(r"[\w.+-]*\w\Z"), re.compile(r"@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}\b")
 _AT, _DOT = re.compile(r"[\[({](?:at|@)[\])}]", re.I), re.compile(r" at .{0,80} dot ", re.I)
@@ -119,7 +128,7 @@ class Lexicon:
         if hit is None:
             h = token_hash(token)
             if self.table is not None:
-                at = (h % (PLACES >> 1)) * 2
+                at = (h % (len(self.table) << 5)) * 2
                 hit = int(self.table[at >> 6] >> np.uint64(at & 63)) & 3
             else:
                 k = int(np.searchsorted(self.keys, np.uint64(h << 2)))
@@ -147,8 +156,8 @@ def header_names(texts: list[str]) -> dict[tuple[str, int], int]:
     return out
 
 
-def lexicon(df: DataFrame, text: str, sample: int = SAMPLE) -> Lexicon:
-    """The names of the corpus, and the potentials of edges fitted to a sample of it.
+def lexicon(df: DataFrame, text: str) -> Lexicon:
+    """The names of the corpus, and the potentials of edges fitted to all its texts.
 
     A name counts as given or family name if it stands so twice or more, and in a tenth or more of
     the times of its other use.
@@ -172,26 +181,49 @@ def lexicon(df: DataFrame, text: str, sample: int = SAMPLE) -> Lexicon:
         table = np.zeros(PLACES >> 6, np.uint64)
         table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
         lex = Lexicon(np.zeros(0, np.uint64), np.zeros(0, np.uint64), table)
-    lex.pair = fit_edges([r[0] for r in src.where(F.length("t") <= SAMPLE_CHARS).limit(sample).collect()], lex)
+    sent = df.sparkSession.sparkContext.broadcast(lex)
+
+    def count(batch: pa.RecordBatch) -> dict[str, list]:
+        sums = edge_sums(batch.column(0).to_pylist(), sent.value).ravel()
+        at = sums.nonzero()[0]
+        return {"cell": at.tolist(), "n": sums[at].tolist()}
+
+    sums = np.zeros((len(HAND), len(LABELS) ** 2 + 1), np.int64)
+    for r in map_batches(src, count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        sums.flat[r.cell] = r.n
+    sent.destroy()
+    lex.pair = fitted(sums)
     return lex
 
 
-def fit_edges(texts: list[str], lex: Lexicon) -> np.ndarray:
-    """Potentials of the three kinds of edges from beliefs over some texts."""
+def edge_sums(texts: Iterable[str | None], lex: Lexicon) -> np.ndarray:
+    """For each kind of edge: joint frequencies of the labels at its ends in units, row by row, then the number of edges."""
+    out = np.zeros((len(HAND), len(LABELS) ** 2 + 1), np.int64)
     s = Spans()
     for i, t in enumerate(texts):
-        scan(i, t, lex, s)
+        if t:
+            scan(i, t, lex, s)
     if not s.unary:
-        return HAND
+        return out
     a, b, kind = edges(s)
     belief = propagate(np.array(s.unary, np.float32), a, b, kind, HAND)
-    p = np.exp(belief - belief.max(1, keepdims=True))
+    p = np.exp(belief - belief.max(1, keepdims=True)).astype(np.float64)
     p /= p.sum(1, keepdims=True)
+    for k in range(len(HAND)):
+        at = np.flatnonzero(kind == k)
+        out[k, -1] = len(at)
+        for x in range(0, len(at), 1 << 14):
+            e = at[x : x + (1 << 14)]
+            out[k, :-1] += np.rint(p[a[e]][:, :, None] * p[b[e]][:, None, :] * UNIT).astype(np.int64).sum(0).ravel()
+    return out
+
+
+def fitted(sums: np.ndarray) -> np.ndarray:
+    """Potentials of the three kinds of edges from sums of ``edge_sums``."""
     out = HAND.copy()
     for k in range(len(HAND)):
-        at = kind == k
-        n = int(at.sum())
-        joint = p[a[at]].T @ p[b[at]]
+        n = min(float(sums[k, -1]), WEIGHT)
+        joint = sums[k, :-1].reshape(len(LABELS), -1) * (n / max(sums[k, -1], 1) / UNIT)
         joint = joint + joint.T if k else joint
         total = max(joint.sum(), 1.0)
         alone = joint.sum(1)[:, None] * joint.sum(0)[None, :] / total
@@ -200,6 +232,11 @@ def fit_edges(texts: list[str], lex: Lexicon) -> np.ndarray:
     return out.astype(np.float32)
 
 
+def fit_edges(texts: list[str], lex: Lexicon) -> np.ndarray:
+    """Potentials of the three kinds of edges from beliefs over some texts."""
+    return fitted(edge_sums(texts, lex))
+
+
 def unwrap(text: str) -> str:
     """Line ends within wrapped prose, with the quote marks after them, as spaces; all places stay the same."""
     if "\n" not in text and "\r" not in text:
@@ -244,35 +281,90 @@ class Spans:
         self.names.append(names)
 
 
+def matches(pattern: re.Pattern, view: str, starts: list[int]) -> Iterator[re.Match]:
+    """What ``finditer`` gives; starts, in order, has every place where a match can begin."""
+    end = 0
+    for p in starts:
+        if p >= end and (m := pattern.match(view, p)):
+            end = m.end()
+            yield m
+
+
+def scanned(view: str) -> list[tuple[int, int, int]]:
+    """Begin, end and label of what each scanner finds.  All but e-mail need digits and are tried about runs of these alone."""
+    found = [(m.start(), m.end(), EMAIL) for k, gate in enumerate((_AT, _DOT)) if gate.search(view) for m in SCANNERS[k][1].finditer(view)]
+    runs = [m.span() for m in _DIGITS.finditer(view)]
+    if not runs:
+        return found
+    # In the order of SCANNERS, less e-mail; no scanner that begins with digits does so inside a run.
+    starts: list[list[int]] = [[] for _ in SCANNERS[2:]]
+    iban, tax, code, long, abroad, area, parted, home, english, _, french, _, _ = starts
+    german = False
+    for p, end in runs:
+        n = end - p
+        before = view[p - 1] if p else ""
+        if n <= 4:
+            english.append(p)
+            french.append(p)
+            if n == 3:
+                tax.append(p)
+                parted.append(p)
+                if before == "(":
+                    area.append(p - 1)
+        elif n == 8:
+            code.append(p)
+        elif 10 <= n <= 13:
+            long.append(p)
+        if "A" <= before <= "Z":
+            iban.append(p - 2)
+            code += (p - 3, p - 2, p - 1)
+        elif before == "+":
+            abroad.append(p - 1)
+        elif view[p] == "0":
+            home.append(p)
+            abroad.append(p)
+        if before == " ":
+            if p > 2 and "A" <= view[p - 2] <= "Z":
+                code.append(p - 3)
+            if not german:
+                q = p - 1
+                while q and view[q - 1] == " ":
+                    q -= 1
+                german = view.endswith(_STREETS, 0, q)
+    everywhere = {9: german, 11: any(w in view for w in _CALLES), 12: any(w in view for w in _ULICAS)}
+    starts[2] = sorted({p for p in code if p >= 0})
+    starts[0] = [p for p in iban if p >= 0]
+    for k, (label, pattern) in enumerate(SCANNERS[2:]):
+        for m in matches(pattern, view, starts[k]) if k not in everywhere else pattern.finditer(view) if everywhere[k] else ():
+            found.append((m.start(), m.end(), label))
+    return found
+
+
 def scan(doc: int, text: str, lex: Lexicon, out: Spans) -> None:
     view = unwrap(text)
     if not view.isascii() and _ODD_SPACE.search(view):
         view = view.translate(_SPACES)
-    taken: list[tuple[int, int]] = []
+    # Begins and ends of the spans taken, which don't overlap, in order of place; and the node of a begin.
+    begins: list[int] = []
+    ends: list[int] = []
+    node: dict[int, int] = {}
     nodes: list[tuple[int, int, list[float], tuple[str, ...]]] = []
     if _HINT.search(view):
-        found: list[tuple[int, int, int]] = []
-        digits = re.search(r"\d", view) is not None
+        found = scanned(view)
         at = view.find("@")
         while at >= 0:
             m = _DOMAIN.match(view, at)
             if m and (n := _LOCAL.search(view[max(0, at - 96) : at])):
                 found.append((at - len(n[0]), m.end(), EMAIL))
             at = view.find("@", at + 1)
-        for k, (label, pattern) in enumerate(SCANNERS):
-            if label == EMAIL and not (_AT, _DOT)[k].search(view):
-                continue
-            if label != EMAIL and not digits:
-                continue
-            for m in pattern.finditer(view):
-                found.append((m.start(), m.end(), label))
         # Spans that overlap are one node: the longest, with a potential for each label proposed.
         found.sort(key=lambda x: (x[0] - x[1], x[0], x[2]))
         for a, b, label in found:
-            hit = next((k for k, (x, y) in enumerate(taken) if a < y and b > x), None)
-            if hit is not None:
-                if taken[hit] == (a, b):
-                    nodes[hit][2][label] = max(nodes[hit][2][label], 1.0)
+            at = bisect_left(begins, b)
+            if at and ends[at - 1] > a:
+                if (begins[at - 1], ends[at - 1]) == (a, b):
+                    unary = nodes[node[a]][2]
+                    unary[label] = max(unary[label], 1.0)
                 continue
             span = view[a:b]
             unary = [0.0, -6.0, -6.0, -6.0, -6.0, -6.0]
@@ -295,7 +387,9 @@ def scan(doc: int, text: str, lex: Lexicon, out: Spans) -> None:
                 if CUES[NONE].search(line):
                     unary[NONE] += 3.0
             names = tuple(x for x in re.split(r"[\W\d_]+", span[: span.find("@")].casefold()) if len(x) > 3) if label == EMAIL and "@" in span else ()
-            taken.append((a, b))
+            begins.insert(at, a)
+            ends.insert(at, b)
+            node[a] = len(nodes)
             nodes.append((a, b, unary, names))
     mailed = {x for _, _, _, names in nodes for x in names}
     prev = None
@@ -321,7 +415,8 @@ def scan(doc: int, text: str, lex: Lexicon, out: Spans) -> None:
                 else:
                     score = -3.0
                 # A word of a sentence's beginning, or of an organisation or street, is no name.
-                if score > -3 and not any(a.start() < y and b.end() > x for x, y in taken):
+                at = bisect_left(begins, b.end())
+                if score > -3 and not (at and ends[at - 1] > a.start()):
                     nodes.append((a.start(), b.end(), [0.0, -6.0, -6.0, -6.0, -6.0, score], (a[0].casefold(), token.casefold())))
                     if score > 2:
                         prev = None

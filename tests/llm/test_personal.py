@@ -118,3 +118,32 @@ def test_edges_are_fitted_to_the_corpus():
     pair = P.fit_edges(texts, lex())
     assert pair.shape == P.HAND.shape and np.isfinite(pair).all() and not np.allclose(pair, P.HAND)
     assert np.allclose(P.fit_edges([], lex()), P.HAND)
+
+
+def test_edges_are_fitted_to_all_texts(spark):
+    plain = [HEADER] * 2 + [f"Nothing here, {k}" for k in range(2_100)]
+    more = [f"Ann Poe <ann.poe@x.test> said {k} and Ann Poe, {k}" for k in range(200)]
+    long = ["Ann Poe <ann.poe@x.test> said it and Ann Poe too. " * 600]
+    for rest in (more, long):
+        df = spark.createDataFrame([(t,) for t in [*plain, *rest, None, ""]], "text string")
+        one = P.lexicon(df.coalesce(1), "text")
+        # As over the texts at once, whatever the partitions are, and other than without the last texts.
+        assert (one.pair == P.fit_edges([*plain, *rest], one)).all()
+        assert (one.pair == P.lexicon(df.repartition(3), "text").pair).all()
+        assert not np.allclose(one.pair, P.fit_edges(plain, one), atol=0.05)
+
+
+def test_edges_weigh_the_same_in_a_corpus_of_any_size():
+    texts = [f"Ann Poe <ann.poe@x.test> said {k} and Ann Poe, {k}" for k in range(1_000)]
+    sums = P.edge_sums(texts, lex())
+    assert np.allclose(P.fitted(sums * 10), P.fitted(sums * 10_000), atol=1e-6)
+    assert np.allclose(P.fitted(sums * 0), P.HAND)
+
+
+def test_scanners_find_the_same_about_digits():
+    rng = np.random.default_rng(0)
+    parts = ["0", "00", "+", "12", "345", "1234", "12345678", "1234567890", "AB", "DE00", "X1Y", "-", " ", "  ", ".", ", ", "(", ")", "/", " Street", "rue de la ", "Calle del Molino", "ul. Nowa", "Mühlenallee", " Ring ", "ул. Мира", "д. ", "Ann", "@", "[at]", " dot ", " at ", "\n", "٣", "a"]
+    for _ in range(3_000):
+        view = "".join(rng.choice(parts, rng.integers(2, 30)))
+        brute = [(m.start(), m.end(), y) for k, (y, x) in enumerate(P.SCANNERS) if y != P.EMAIL or (P._AT, P._DOT)[k].search(view) for m in x.finditer(view)]
+        assert sorted(P.scanned(view)) == sorted(brute)
